@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from maskloom.plans import problems
+from maskloom.plans import geometry, problems
 
-MODULES = [problems]
+MODULES = [problems, geometry]
 FLAGSHIP = "p1_report"
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
