@@ -7,6 +7,8 @@ A null box, or one with too few numbers, gives null; everything stays inside gen
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -168,16 +170,22 @@ def _overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.least(a1, b1) - F.greatest(a0, b0), F.lit(0.0))
 
 
+def whole(*boxes: Column) -> Column:
+    """Whether all boxes have four numbers."""
+    parts = [at(b, i) for b in boxes for i in range(4)]
+    return reduce(lambda p, q: p & q, (v.isNotNull() for v in parts))
+
+
 def intersection_xyxy(a: Column, b: Column) -> Column:
     """Null if either box is null: greatest and least ignore nulls, so that is said here."""
     inter = _overlap(at(a, 0), at(a, 2), at(b, 0), at(b, 2)) * _overlap(at(a, 1), at(a, 3), at(b, 1), at(b, 3))
-    return F.when(at(a, 3).isNotNull() & at(b, 3).isNotNull(), inter)
+    return F.when(whole(a, b), inter)
 
 
 def intersection_xywh(a: Column, b: Column) -> Column:
     x = _overlap(at(a, 0), at(a, 0) + at(a, 2), at(b, 0), at(b, 0) + at(b, 2))
     y = _overlap(at(a, 1), at(a, 1) + at(a, 3), at(b, 1), at(b, 1) + at(b, 3))
-    return F.when(at(a, 3).isNotNull() & at(b, 3).isNotNull(), x * y)
+    return F.when(whole(a, b), x * y)
 
 
 def union_xywh(a: Column, b: Column) -> Column:

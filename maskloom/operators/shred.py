@@ -129,23 +129,29 @@ def parse(body: str | None) -> Any:
 
 def shred(bodies: list[str | None], lists: frozenset[str]) -> Node:
     """The batch's schema, its leaves filled with one or more entries a body."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))
-    root, documents = Node("$", 0, 0, None), [parse(b) for b in bodies]
-    for d in documents:
-        observe(root, None, d, lists)
-    if root.leaf is None:
-        root.leaf = Leaf("$")  # one entry a body, also where the bodies hold nothing
-    for d in documents:
-        write(root, None, d, 0, 0, lists)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 200_000))  # documents may be nested as deeply as the parser takes them
+    try:
+        root, documents = Node("$", 0, 0, None), [parse(b) for b in bodies]
+        for d in documents:
+            observe(root, None, d, lists)
+        if root.leaf is None:
+            root.leaf = Leaf("$")  # one entry a body, also where the bodies hold nothing
+        for d in documents:
+            write(root, None, d, 0, 0, lists)
+    finally:
+        sys.setrecursionlimit(limit)
     return root
 
 
-def walk(node: Node) -> Iterator[Node]:
-    yield node
-    for child in node.fields.values():
-        yield from walk(child)
-    if node.elem is not None:
-        yield from walk(node.elem)
+def walk(root: Node) -> Iterator[Node]:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node
+        if node.elem is not None:
+            todo.append(node.elem)
+        todo += reversed(node.fields.values())
 
 
 @dataclass
@@ -328,7 +334,8 @@ def nested_tables(df: DataFrame, lists: tuple[str, ...] = tuple(sorted(LISTS)),
 
 
 def level_columns(df: DataFrame, lists: tuple[str, ...] = tuple(sorted(LISTS)), key: str = "record_id", body: str = "body") -> DataFrame:
-    """The shredded columns themselves: record_id, path, entry_no (in record and path), rep, def, value."""
+    """The shredded columns themselves: record_id, path, entry_no (in record and path), rep, def, value. A record
+    has entries for the paths of its batch; a path no record of the batch has is not there."""
     wanted = frozenset(lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
