@@ -27,7 +27,7 @@ from maskloom.llm.tokens import readable, tokenizer, vocabulary_path
 MOST, SHARED = 512, 32
 RANGE_BYTES = 1 << 16
 HALO = 1 << 12
-NAMES = ("inside", "word", "sentence", "line", "paragraph")  #: kinds of cut, by level
+NAMES = ("inside", "word", "sentence", "line", "paragraph", "end")  #: kinds of cut, by level; the last is the text's end
 
 SPACE = re.compile(r"\s+")
 SENTENCE_END = re.compile(r"[.!?…؟。！？]['\"”’»)\]」』）]*\Z")
@@ -58,8 +58,8 @@ def byte_offsets(text: str) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(width)])
 
 
-def parting(window: bytes) -> int | None:
-    """The byte of the best boundary in the halo (the first of the highest level), None if there is none.
+def parting(window: bytes) -> tuple[int, int] | None:
+    """(byte, level) of the best boundary in the halo (the first of the highest level), None if there is none.
     ``window`` may begin and end inside a character."""
     skip = next((i for i in range(min(4, len(window))) if window[i] & 0xC0 != 0x80), 0)
     text = window[skip:].decode("utf-8", "ignore")
@@ -67,10 +67,10 @@ def parting(window: bytes) -> int | None:
     if not found:
         return None
     at = min(found, key=lambda c: (-found[c], c))
-    return skip + len(text[:at].encode())
+    return skip + len(text[:at].encode()), found[at]
 
 
-def cuts(n: int, level_at: np.ndarray, aligned: np.ndarray, most: int, shared: int, follows: bool) -> list[tuple[int, int, int]]:
+def cuts(n: int, level_at: np.ndarray, aligned: np.ndarray, most: int, shared: int, follows: bool, end_level: int) -> list[tuple[int, int, int]]:
     """(start, end, level of the end) of the pieces of ``n`` tokens. ``level_at[i]`` is the level of the end
     of token i - 1, ``aligned[i]`` tells whether no character is split there. If the range ``follows`` another,
     its first piece starts ``shared`` tokens before 0. A cut is the last one of the highest level in the
@@ -79,7 +79,7 @@ def cuts(n: int, level_at: np.ndarray, aligned: np.ndarray, most: int, shared: i
     while end < n:
         limit = start + most
         if limit >= n:
-            out.append((start, n, 4))
+            out.append((start, n, end_level))
             break
         low = end + max(1, (limit - end) // 2)
         levels = level_at[low : limit + 1]
@@ -100,13 +100,14 @@ _PIECE = pa.struct([(c, pa.int32()) for c in ("start_token", "end_token", "start
 _SEGMENT = pa.struct([("n_tokens", pa.int32()), ("tail", pa.int32()), ("tail_text", pa.int32()), ("pieces", pa.list_(_PIECE))])
 
 
-def segment(text: str, ids: list[int], lengths: np.ndarray, most: int, shared: int, follows: bool, ends_text: bool) -> dict:
-    """Tokens and pieces of one range. Bytes and tokens count from the range's begin; ``tail`` is where its
-    last ``shared`` tokens begin, counted in bytes from its end, ``tail_text`` the same at a whole character."""
+def segment(text: str, ids: list[int], lengths: np.ndarray, most: int, shared: int, follows: bool, end_level: int) -> dict:
+    """Tokens and pieces of one range that ends with a boundary of ``end_level``. Bytes and tokens count from the
+    range's begin; ``tail`` is where its last ``shared`` tokens begin, counted in bytes from its end,
+    ``tail_text`` the same at a whole character."""
     n = len(ids)
     ends = np.concatenate([[0], np.cumsum(lengths[np.asarray(ids, np.int64)])]) if n else np.zeros(1, np.int64)
-    if n <= most and not follows and ends_text:
-        return {"n_tokens": n, "tail": 0, "tail_text": 0, "pieces": [(0, n, 0, 0, int(ends[-1]), 4)] if n else []}
+    if n <= most and not follows and end_level == len(NAMES) - 1:
+        return {"n_tokens": n, "tail": 0, "tail_text": 0, "pieces": [(0, n, 0, 0, int(ends[-1]), end_level)] if n else []}
     starts = byte_offsets(text)
     aligned = np.isin(ends, starts)
     level_at = np.zeros(n + 1, np.int64)
@@ -120,7 +121,7 @@ def segment(text: str, ids: list[int], lengths: np.ndarray, most: int, shared: i
         return int(starts[np.searchsorted(starts, byte, side="right") - 1])
 
     pieces = []
-    for start, end, level in cuts(n, level_at, aligned, most, shared, follows):
+    for start, end, level in cuts(n, level_at, aligned, most, shared, follows, end_level):
         at = int(ends[start]) if start >= 0 else 0
         pieces.append((start, end, at, character(at), int(ends[end]), level))
     tail = int(ends[max(0, n - shared)])
@@ -138,9 +139,12 @@ def segments(docs: DataFrame, most: int = MOST, shared: int = SHARED, range_byte
     at = path or vocabulary_path()
     back = shared * tokenizer(at).longest  # bytes that ``shared`` tokens have at most
 
-    @F.arrow_udf("array<int>")
+    place = pa.struct([("at", pa.int32()), ("level", pa.int32())])
+
+    @F.arrow_udf("array<struct<at: int, level: int>>")
     def find(windows: pa.Array) -> pa.Array:
-        return pa.array([[parting(w) for w in row] for row in windows.to_pylist()], pa.list_(pa.int32()))
+        found = [[parting(w) for w in row] for row in windows.to_pylist()]
+        return pa.array([[None if p is None else {"at": p[0], "level": p[1]} for p in row] for row in found], pa.list_(place))
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(at)
@@ -149,25 +153,26 @@ def segments(docs: DataFrame, most: int = MOST, shared: int = SHARED, range_byte
             bodies = [d[h:] for d, h in zip(columns["data"], columns["halo"], strict=True)]
             texts = readable(pa.array(bodies, pa.binary()))
             done = [
-                segment(t, ids, own.lengths, most, shared, begin > 0, last)
-                for t, ids, begin, last in zip(texts, own.encode(texts), columns["begin"], columns["ends_text"], strict=True)
+                segment(t, ids, own.lengths, most, shared, begin > 0, level)
+                for t, ids, begin, level in zip(texts, own.encode(texts), columns["begin"], columns["end_level"], strict=True)
             ]
             yield pa.RecordBatch.from_arrays([*b.columns, _rows(done)], names=[*b.schema.names, "done"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.encode(F.col("text").cast("string"), "utf-8").alias("bytes"))
     rows = rows.where(F.octet_length("bytes") > most)
-    schema = "doc_id BIGINT, range_no INT, begin INT, halo INT, data BINARY, ends_text BOOLEAN"
-    short = rows.where(F.octet_length("bytes") <= range_bytes).select("doc_id", F.lit(0).alias("range_no"), F.lit(0).alias("begin"), F.lit(0).alias("halo"), F.col("bytes").alias("data"), F.lit(True).alias("ends_text"))
+    schema = "doc_id BIGINT, range_no INT, begin INT, halo INT, data BINARY, end_level INT"
+    short = rows.where(F.octet_length("bytes") <= range_bytes).select("doc_id", F.lit(0).alias("range_no"), F.lit(0).alias("begin"), F.lit(0).alias("halo"), F.col("bytes").alias("data"), F.lit(len(NAMES) - 1).alias("end_level"))
     long = rows.where(F.octet_length("bytes") > range_bytes).withColumn("at", F.sequence(F.lit(range_bytes), F.octet_length("bytes") - 1, F.lit(range_bytes)))
-    window = F.transform("at", lambda x: F.substring(F.col("bytes"), x + 1, F.lit(HALO)))
+    window = F.transform("at", lambda x: F.substring(F.col("bytes"), x + 1, F.lit(min(HALO, range_bytes))))
     edges = long.withColumn("found", find(window))
-    edge = F.filter(F.zip_with("at", "found", lambda x, f: x + f), lambda x: x.isNotNull())
-    ends = F.array_distinct(F.concat(F.array(F.lit(0)), edge, F.array(F.octet_length("bytes"))))
-    spans = edges.withColumn("ends", ends).select("doc_id", "bytes", "ends", F.posexplode(F.slice("ends", F.lit(1), F.size("ends") - 1)).alias("range_no", "begin"))
-    halo = F.least("begin", F.lit(back))
-    end = F.col("ends")[F.col("range_no") + 1]
-    data = F.substring("bytes", F.col("begin") - halo + 1, end - F.col("begin") + halo)
-    ranges = spans.select("doc_id", "range_no", "begin", halo.alias("halo"), data.alias("data"), (end == F.octet_length("bytes")).alias("ends_text"))
+    edge = lambda at, level: F.struct(at.cast("int").alias("at"), level.cast("int").alias("level"))
+    inner = F.filter(F.zip_with("at", "found", lambda x, f: F.when(f.isNotNull(), edge(x + f["at"], f["level"]))), lambda e: e.isNotNull())
+    ends = F.concat(F.array(edge(F.lit(0), F.lit(0))), inner, F.array(edge(F.octet_length("bytes"), F.lit(len(NAMES) - 1))))
+    spans = edges.withColumn("ends", ends).select("doc_id", "bytes", "ends", F.posexplode(F.slice("ends", F.lit(1), F.size("ends") - 1)).alias("range_no", "e"))
+    begin, end = F.col("e.at"), F.col("ends")[F.col("range_no") + 1]
+    halo = F.least(begin, F.lit(back))
+    data = F.substring("bytes", begin - halo + 1, end["at"] - begin + halo)
+    ranges = spans.select("doc_id", "range_no", begin.alias("begin"), halo.alias("halo"), data.alias("data"), end["level"].alias("end_level"))
     ranges = ranges.repartition("doc_id", "range_no")  # only giant texts: their ranges are spread over the tasks
     return short.unionByName(ranges).mapInArrow(tokenized, f"{schema}, done {SEGMENT}")
 
