@@ -120,13 +120,13 @@ def drop_objects(df: DataFrame, keep) -> DataFrame:
     flags = F.transform("images", lambda im: F.transform(F.coalesce(im["objects"], F.array()), ok))
 
     def moved(q: Column) -> Column:
-        own = F.get(flags, q["image_id"])
+        own = F.get(F.col("_flags"), q["image_id"])
         alive = F.filter(q["object_ids_output"], lambda i: F.coalesce(F.get(own, i), F.lit(False)))
         place = lambda i: F.size(F.filter(F.slice(own, F.lit(1), i), lambda f: f))
         return q.withField("object_ids_output", F.transform(alive, place))
 
     images = F.transform("images", lambda im: im.withField("objects", F.filter(im["objects"], ok)))
-    return df.select(*[F.transform("find_queries", moved).alias(c) if c == "find_queries" else images.alias(c) if c == "images" else c for c in df.columns])
+    return df.withColumn("_flags", flags).withColumn("find_queries", F.transform("find_queries", moved)).withColumn("images", images).drop("_flags")
 
 
 def drop_orphan_objects(df: DataFrame) -> DataFrame:
