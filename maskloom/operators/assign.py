@@ -53,16 +53,16 @@ def hungarian(weights: np.ndarray) -> list[tuple[int, int]]:
     return sorted((c, r) for r, c in pairs) if flipped else sorted(pairs)
 
 
-def _assign_group(group: pa.Table) -> pa.Table:
-    left, right = group.column("left").to_pylist(), group.column("right").to_pylist()
-    rows = {k: i for i, k in enumerate(sorted(set(left)))}
-    columns = {k: i for i, k in enumerate(sorted(set(right)))}
-    weight, place = np.zeros((len(rows), len(columns))), {}
-    for n, (a, b, w) in enumerate(zip(left, right, group.column("weight").to_pylist(), strict=True)):
-        weight[rows[a], columns[b]] = w
-        place[rows[a], columns[b]] = n
-    picked = [place[p] for p in hungarian(weight) if p in place]
-    return group.take(pa.array(sorted(picked), pa.int64()))
+def _assign_groups(rows: pa.Table, bounds: list[int]) -> pa.Table:
+    left, right, weights = (rows.column(c).to_numpy() for c in ("left", "right", "weight"))
+    picked: list[int] = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        _, i = np.unique(left[a:b], return_inverse=True)
+        _, j = np.unique(right[a:b], return_inverse=True)
+        weight, place = np.zeros((i.max() + 1, j.max() + 1)), np.full((i.max() + 1, j.max() + 1), -1)
+        weight[i, j], place[i, j] = weights[a:b], np.arange(a, b)
+        picked += [int(place[p]) for p in hungarian(weight) if place[p] >= 0]
+    return rows.take(pa.array(sorted(picked), pa.int64()))
 
 
 def assign(pairs: DataFrame, groups: list[str]) -> DataFrame:
@@ -81,7 +81,7 @@ def assign(pairs: DataFrame, groups: list[str]) -> DataFrame:
     easy = judged.where("_r = _n AND _k = 1").select(*pairs.columns)
     hard = judged.where("_r < _n").select(*pairs.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return easy.unionByName(map_groups(hard, groups, _assign_group, schema, ["left", "right"]))
+    return easy.unionByName(map_groups(hard, groups, _assign_groups, schema, ["left", "right"]))
 
 
 def detr_weight(probability: Column, l1: Column, giou: Column, class_weight: float = 1.0, box_weight: float = 5.0, giou_weight: float = 2.0, focal: bool = False, alpha: float = 0.25, gamma: float = 2.0) -> Column:
@@ -118,20 +118,20 @@ def associate(detections: DataFrame, tracks: DataFrame, pairs: DataFrame, assoc:
     return dets.select("frame", "det", F.coalesce("tracks", F.array().cast("array<bigint>")).alias("tracks"), "is_new"), trks
 
 
-def _greedy_group(group: pa.Table) -> pa.Table:
-    rows = group.select(["det", "gt", "iou"]).to_pylist()  # in order of score
-    by_det: dict[int, list[tuple[int, dict]]] = {}
-    for n, r in enumerate(rows):
-        by_det.setdefault(r["det"], []).append((n, r))
-    taken: set[int] = set()
+def _greedy_groups(rows: pa.Table, bounds: list[int]) -> pa.Table:
+    det, gt, iou = (rows.column(c).to_pylist() for c in ("det", "gt", "iou"))  # in order of score
     picked = []
-    for own in by_det.values():
-        free = [(n, r) for n, r in own if r["gt"] not in taken]
-        if free:
-            n, r = max(free, key=lambda x: (x[1]["iou"], -x[1]["gt"]))
-            taken.add(r["gt"])
-            picked.append(n)
-    return group.take(pa.array(picked, pa.int64()))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        by_det: dict[int, list[int]] = {}
+        for n in range(a, b):
+            by_det.setdefault(det[n], []).append(n)
+        taken: set[int] = set()
+        for own in by_det.values():
+            if free := [n for n in own if gt[n] not in taken]:
+                best = max(free, key=lambda n: (iou[n], -gt[n]))
+                taken.add(gt[best])
+                picked.append(best)
+    return rows.take(pa.array(picked, pa.int64()))
 
 
 def greedy_by_score(pairs: DataFrame, groups: list[str], thresholds: list[float]) -> DataFrame:
@@ -153,4 +153,4 @@ def greedy_by_score(pairs: DataFrame, groups: list[str], thresholds: list[float]
     easy = ranked.where("_easy AND _k = 1").select(*out)
     hard = ranked.where("NOT _easy").withColumn("_o", -score).select(*out, "_o")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hard.schema.fields)
-    return easy.unionByName(map_groups(hard, unit, _greedy_group, schema, ["_o", "det"]).select(*out))
+    return easy.unionByName(map_groups(hard, unit, _greedy_groups, schema, ["_o", "det"]).select(*out))

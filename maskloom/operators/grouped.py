@@ -18,9 +18,16 @@ def first_copy(df: DataFrame, key: str = "id", at: str = "delivered_at") -> Data
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def map_groups(df: DataFrame, keys: list[str], kernel: Callable[[pa.Table], pa.Table], schema: str, order: list[str] | None = None) -> DataFrame:
-    """``kernel`` over each group's rows, in ``order``. Groups are streamed from sorted partitions, many to an
-    Arrow batch, so a small group costs no more than its rows; groups should be of bounded size."""
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Partitioned by the keys into as many parts as the session's shuffles have, whatever their size: Python
+    work is heavy for its bytes, so its partitions must not be coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def map_groups(df: DataFrame, keys: list[str], kernel: Callable[[pa.Table, list[int]], pa.Table], schema: str, order: list[str] | None = None) -> DataFrame:
+    """``kernel`` over many groups at a time: a table of whole groups, each in ``order``, and where they begin and
+    end. Groups are streamed from sorted partitions, so a small group costs no more than its rows; a group
+    must be of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -28,16 +35,15 @@ def map_groups(df: DataFrame, keys: list[str], kernel: Callable[[pa.Table], pa.T
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             starts = _starts(held, keys)
-            for a, b in zip(starts, starts[1:], strict=False):
-                yield from kernel(held.slice(a, b - a)).to_batches()
-            held = held.slice(starts[-1])
+            if len(starts) > 1:
+                yield from kernel(held.slice(0, starts[-1]), starts).to_batches()
+                held = held.slice(starts[-1])
         if held is not None:
-            yield from kernel(held).to_batches()
+            yield from kernel(held, [0, held.num_rows]).to_batches()
 
-    spread = df.repartition(*keys).sortWithinPartitions(*keys, *(order or []))
-    return spread.mapInArrow(run, schema)
+    return spread(df, keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
 
 
 def _starts(table: pa.Table, keys: list[str]) -> list[int]:

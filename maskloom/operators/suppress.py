@@ -60,16 +60,18 @@ def suppress_boxes(rows: DataFrame, groups: list[str], threshold: float, inclusi
     todo = materialize(flat.withColumn("_n", F.monotonically_increasing_id()), "boxes")
     names = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
 
-    def decide(group: pa.Table) -> pa.Table:
-        xywh = np.stack([group.column(f"_{c}").to_numpy() for c in "xywh"], 1)
-        return group.filter(pa.array(greedy(xywh, threshold, inclusive, measure)))
+    def decide(rows: pa.Table, bounds: list[int]) -> pa.Table:
+        xywh = np.stack([rows.column(f"_{c}").to_numpy() for c in "xywh"], 1)
+        return rows.filter(pa.array(np.concatenate([greedy(xywh[a:b], threshold, inclusive, measure) for a, b in zip(bounds, bounds[1:], strict=False)])))
 
     kept: DataFrame | None = None
     by_score = Window.partitionBy(*groups).orderBy(F.col("_s").desc(), "id", "_n")
-    while True:
+    while True:  # a box alone in its group needs no decision
         top = todo.withColumn("_k", F.row_number().over(by_score)).where(F.col("_k") <= chunk)
-        schema = ", ".join(f"`{c}` {names[c]}" for c in todo.columns) + ", _k INT"
-        best = materialize(map_groups(top, groups, decide, schema, ["_k"]), "kept")
+        top = materialize(top.withColumn("_alone", F.count(F.lit(1)).over(Window.partitionBy(*groups)) == 1), "best")
+        schema = ", ".join(f"`{c}` {names[c]}" for c in todo.columns) + ", _k INT, _alone BOOLEAN"
+        decided = map_groups(top.where("NOT _alone"), groups, decide, schema, ["_k"])
+        best = materialize(top.where("_alone").unionByName(decided), "kept")
         kept = best if kept is None else kept.unionByName(best)
         cut = top.where(F.col("_k") == chunk).select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.struct(-F.col("_s"), F.col("id"), F.col("_n")).alias("_cut"))
         cut = materialize(cut, "cut")  # one row for each group of more than a chunk

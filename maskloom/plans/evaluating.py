@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import boxes as B
 from maskloom.operators import assign as M
 from maskloom.operators import suppress as S
+from maskloom.operators.overlaps import overlap_sums
 from maskloom.plans import ap, cgf1, hota
 from maskloom.plans.views import DETECTED_SQL, PAIRS_SQL, TRUTH_SQL, detected, iou_sql, once, once_sql, overlap_sql, pairs, truth
 from maskloom.shared import materialize
@@ -45,9 +46,11 @@ def _track_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """Tracks, and pairs of a video's tracks with IoU over the frames that both have."""
     m = once(spark, sf_dir, "masklet", "video_id", "bboxes").where("video_id IS NOT NULL AND id IS NOT NULL")
     f = m.select("video_id", "id", F.posexplode("bboxes").alias("frame", "box")).where(~B.is_zero(F.col("box")))
-    a, b = f, f.withColumnsRenamed({"id": "other", "box": "box2"})
-    inter, union = B.intersection_xywh(F.col("box"), F.col("box2")), B.union_xywh(F.col("box"), F.col("box2"))
-    p = a.join(b, ["video_id", "frame"]).where("id < other").groupBy("video_id", "id", "other").agg(F.sum(inter).alias("i"), F.sum(union).alias("u"))
+    # frames in which the boxes don't meet add to the union only, so areas are summed over all common frames
+    a, b = f.select("video_id", "frame", "id", B.area_xywh(F.col("box")).alias("area")), f.select("video_id", "frame", F.col("id").alias("other"), B.area_xywh(F.col("box")).alias("area2"))
+    both = a.join(b, ["video_id", "frame"]).where("id < other").groupBy("video_id", "id", "other").agg((F.sum("area") + F.sum("area2")).alias("areas"))
+    met = overlap_sums(f, f.withColumnsRenamed({"id": "other", "box": "box2"}), ["video_id", "frame"], "box", "box2", F.col("id") < F.col("other"))
+    p = both.join(met.groupBy("video_id", "id", "other").agg(F.sum("inter").alias("i")), ["video_id", "id", "other"], "left").select("video_id", "id", "other", F.coalesce("i", F.lit(0.0)).alias("i"), (F.col("areas") - F.coalesce("i", F.lit(0.0))).alias("u"))
     items = m.select("video_id", "id", ((F.col("id") * 7919 % 1000) / 1000.0).alias("score"))
     return items, p.select("video_id", "id", "other", F.try_divide("i", "u").alias("similarity"))
 

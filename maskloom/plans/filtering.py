@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from maskloom.functions import boxes as B
 from maskloom.operators import filters as P
+from maskloom.operators.overlaps import overlapping
 from maskloom.plans.views import DETECTED_SQL, TRUTH_SQL, detected, iou_sql, once, once_sql, truth
-from maskloom.functions import boxes as B
 from maskloom.shared import table
 
 QUERIES, SQL = {}, {}
@@ -209,8 +210,7 @@ def self_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping ground truth of an image, each pair once."""
     t = truth(spark, sf_dir).select("image_id", "gt", "gt_box")
     a, b = t.withColumnsRenamed({"gt": "a", "gt_box": "box_a"}), t.withColumnsRenamed({"gt": "b", "gt_box": "box_b"})
-    iou = B.iou_xywh(F.col("box_a"), F.col("box_b"))
-    return a.join(b, "image_id").where((F.col("a") < F.col("b")) & (iou > 0)).select("image_id", "a", "b", F.round(iou, 6).alias("iou"))
+    return overlapping(a, b, ["image_id"], "box_a", "box_b", condition=F.col("a") < F.col("b")).select("image_id", "a", "b", F.round("iou", 6).alias("iou"))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, event_type = 'click' AS cond, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events)

@@ -82,8 +82,8 @@ def pairwise_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, g = F.col("dt_box"), F.col("gt_box")
     a, b = B.xywh_to_xyxy(d), B.xywh_to_xyxy(g)
     return pairs(spark, sf_dir).select(
-        "image_id", "gt", "det", F.round("iou", 9).alias("iou"), F.round(B.giou_xyxy(a, b), 6).alias("giou"), F.round(B.ioa_xyxy(a, b, "first"), 6).alias("ioa_det"),
-        F.round(B.ioa_xyxy(a, b, "second"), 6).alias("ioa_gt"), F.round(B.iom_xywh(d, g), 6).alias("iom"),
+        "image_id", "gt", "det", F.round("iou", 9).alias("iou"), F.round(B.giou_xyxy(a, b), 6).alias("giou"), F.round(B.ratio_or_zero(B.intersection_xywh(d, g), B.area_xywh(d)), 6).alias("ioa_det"),
+        F.round(B.ratio_or_zero(B.intersection_xywh(d, g), B.area_xywh(g)), 6).alias("ioa_gt"), F.round(B.iom_xywh(d, g), 6).alias("iom"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from maskloom.functions import boxes as B
 from maskloom.operators.assign import assign
+from maskloom.operators.overlaps import overlapping
 from maskloom.shared import materialize
 
 ALPHAS = [0.05 * i for i in range(1, 20)]
@@ -23,7 +24,7 @@ def similarities(truth: DataFrame, tracker: DataFrame) -> DataFrame:
     """seq, t, gt, tr, sim > 0 of boxes (xywh) in the same frame. Both: seq, t, id, box."""
     g = truth.select("seq", "t", F.col("id").alias("gt"), F.col("box").alias("gb"))
     r = tracker.select("seq", "t", F.col("id").alias("tr"), F.col("box").alias("rb"))
-    return g.join(r, ["seq", "t"]).select("seq", "t", "gt", "tr", B.iou_xywh(F.col("rb"), F.col("gb")).alias("sim")).where("sim > 0")
+    return overlapping(g, r, ["seq", "t"], "gb", "rb", "sim").select("seq", "t", "gt", "tr", "sim")
 
 
 def alignment(truth: DataFrame, tracker: DataFrame, sims: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.functions import boxes as B
 from maskloom.operators.assign import assign
+from maskloom.operators.overlaps import overlapping
 from maskloom.plans.hota import EPS, alignment
 from maskloom.shared import materialize
 
@@ -35,7 +35,7 @@ def per_sequence(truth: DataFrame, tracker: DataFrame, exhaustive: bool = True)
     """
     g = truth.select("seq", "t", F.col("id").alias("gt"), F.col("cls").alias("gcls"), F.col("box").alias("gb"))
     r = tracker.select("seq", "t", F.col("id").alias("tr"), F.col("cls").alias("rcls"), F.col("box").alias("rb"))
-    sims = g.join(r, ["seq", "t"]).select("seq", "t", "gt", "tr", "gcls", "rcls", B.iou_xywh(F.col("rb"), F.col("gb")).alias("sim")).where("sim > 0")
+    sims = overlapping(g, r, ["seq", "t"], "gb", "rb", "sim").select("seq", "t", "gt", "tr", "gcls", "rcls", "sim")
     sims = materialize(sims, "similarities")
     near = sims.where(F.col("sim") >= OVERLAP)
     used = near.select("seq", "tr").distinct()

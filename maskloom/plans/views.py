@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import boxes as B
 from maskloom.operators.grouped import first_copy
+from maskloom.operators.overlaps import overlapping
 from maskloom.shared import table
 
-PERCENT = 100
-
 
 def once(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """``columns`` of the first delivery of each id."""
@@ -47,8 +46,7 @@ DETECTED_SQL = f"""(SELECT image_id, id AS det, bbox AS dt_box, CASE WHEN isnan(
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth and predictions of the same image that overlap, with their IoU."""
-    joined = truth(spark, sf_dir).join(detected(spark, sf_dir), "image_id")
-    return joined.withColumn("iou", B.iou_xywh(F.col("dt_box"), F.col("gt_box"))).where("iou > 0")
+    return overlapping(truth(spark, sf_dir), detected(spark, sf_dir), ["image_id"], "gt_box", "dt_box")
 
 
 def overlap_sql(a: str, b: str) -> str:

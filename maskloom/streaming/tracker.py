@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.operators.grouped import spread
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -199,7 +201,8 @@ def track_batch(frames: DataFrame, settings: Settings = Settings()) -> DataFrame
         rows += [{"video_id": int(key[0]), **r, "late": False} for r in tracker._leaving(True)]
         return _frame(rows)
 
-    return frames.where("video_id IS NOT NULL AND frame_idx IS NOT NULL").groupBy("video_id").applyInPandas(run, OUT)
+    known = frames.where("video_id IS NOT NULL AND frame_idx IS NOT NULL")
+    return spread(known, ["video_id"]).groupBy("video_id").applyInPandas(run, OUT)
 
 
 def track_stream(frames: DataFrame, settings: Settings = Settings(), idle: str | None = None) -> DataFrame:
