@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.operators.grouped import spread
 from maskloom.shared import materialize
 
 CHUNK_ROWS = 100_000  #: rows packed together by one task
@@ -172,7 +173,7 @@ def pack(items: DataFrame, capacity: int, targets: DataFrame | None = None, chun
     placed, round_no = None, 0
     while True:
         last = n_chunks == 1
-        done = materialize(todo.groupBy("chunk").applyInArrow(_packer(capacity, round_no, last), SCHEMA), "packed")
+        done = materialize(spread(todo, ["chunk"]).groupBy("chunk").applyInArrow(_packer(capacity, round_no, last), SCHEMA), "packed")
         part = done.where("kind = 'placed'").select("doc_id", "piece_no", "start_token", "n_tokens", "source", "container_id")
         placed = part if placed is None else placed.unionByName(part)
         if last:

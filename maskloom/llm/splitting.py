@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskloom.llm.tokens import readable, tokenizer, vocabulary_path
+from maskloom.operators.grouped import spread
 
 MOST, SHARED = 512, 32
 RANGE_BYTES = 1 << 16
@@ -173,7 +174,7 @@ def segments(docs: DataFrame, most: int = MOST, shared: int = SHARED, range_byte
     halo = F.least(begin, F.lit(back))
     data = F.substring("bytes", begin - halo + 1, end["at"] - begin + halo)
     ranges = spans.select("doc_id", "range_no", begin.alias("begin"), halo.alias("halo"), data.alias("data"), end["level"].alias("end_level"))
-    ranges = ranges.repartition("doc_id", "range_no")  # only giant texts: their ranges are spread over the tasks
+    ranges = spread(ranges, ["doc_id", "range_no"])  # only giant texts: their ranges are spread over the tasks
     return short.unionByName(ranges).mapInArrow(tokenized, f"{schema}, done {SEGMENT}")
 
 
