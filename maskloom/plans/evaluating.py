@@ -26,7 +26,18 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+def _greedy_sql(rows: str, groups: list[str], threshold: str) -> str:
+    """Greedy suppression in SQL: rows (groups, id, box, score) one by one, with the list of kept boxes."""
+    g = ", ".join(groups)
+    same = " AND ".join(f"b.{c} IS NOT DISTINCT FROM r.{c}" for c in groups)
+    hit = f"len(list_filter(r.kept, lambda o: ({iou_sql('o', 'b.box')}) {threshold})) > 0"
+    return f"""WITH RECURSIVE b AS (SELECT {g}, id, box, row_number() OVER (PARTITION BY {g} ORDER BY score DESC NULLS LAST, id) AS k FROM {rows}),
+      r AS (SELECT {g}, k, [box] AS kept, [id] AS ids FROM b WHERE k = 1 UNION ALL
+        SELECT {", ".join(f"b.{c}" for c in groups)}, b.k, CASE WHEN {hit} THEN r.kept ELSE list_append(r.kept, b.box) END, CASE WHEN {hit} THEN r.ids ELSE list_append(r.ids, b.id) END FROM r JOIN b ON {same} AND b.k = r.k + 1)
+      SELECT {g}, unnest(ids) AS id FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY {g} ORDER BY k DESC) = 1)"""
+
+
+@query(_greedy_sql(f"(SELECT image_id, dt_category AS category_id, det AS id, CASE WHEN len(dt_box) >= 4 THEN dt_box ELSE [0.0, 0.0, 0.0, 0.0] END AS box, score FROM {DETECTED_SQL} WHERE image_id IS NOT NULL)", ["image_id", "category_id"], "> 0.5"))
 def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions that stay per (image, category) at IoU <= 0.5, the image with a tenth of all rows included."""
     d = detected(spark, sf_dir).where("image_id IS NOT NULL")
@@ -34,7 +45,11 @@ def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.suppress_boxes(rows, ["image_id", "category_id"], 0.5)
 
 
-@query()
+_RANKED = f"""(SELECT video_id, frame, id, box, (id * 7919 % 1000) / 1000.0 AS score FROM (SELECT video_id, id, CAST(unnest(range(len(bboxes))) AS INTEGER) AS frame, unnest(bboxes) AS box FROM {once_sql("masklet", "video_id", "bboxes")} WHERE video_id IS NOT NULL AND bboxes IS NOT NULL)
+  WHERE len(box) >= 4 AND len(list_filter(box, lambda v: v > 0)) > 0)"""
+
+
+@query(_greedy_sql(_RANKED, ["video_id", "frame"], ">= 0.3"))
 def nms_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of tracks that stay in each frame of a video, suppressed from IoU 0.3 on."""
     m = once(spark, sf_dir, "masklet", "video_id", "bboxes").where("video_id IS NOT NULL")
