@@ -55,7 +55,8 @@ def boundaries(text: str) -> dict[int, int]:
 
 def byte_offsets(text: str) -> np.ndarray:
     """The byte at which each character begins, and the length."""
-    width = np.array([1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4 for c in map(ord, text)], np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
     return np.concatenate([[0], np.cumsum(width)])
 
 
@@ -112,10 +113,11 @@ def segment(text: str, ids: list[int], lengths: np.ndarray, most: int, shared: i
     starts = byte_offsets(text)
     aligned = np.isin(ends, starts)
     level_at = np.zeros(n + 1, np.int64)
-    for character, level in boundaries(text).items():
-        k = int(np.searchsorted(ends, starts[character]))
-        if ends[k] == starts[character]:
-            level_at[k] = level
+    found = boundaries(text)
+    places = starts[np.fromiter(found.keys(), np.int64, len(found))]
+    at_token = np.searchsorted(ends, places)
+    between = ends[at_token] == places
+    level_at[at_token[between]] = np.fromiter(found.values(), np.int64, len(found))[between]
     level_at[0] = 0
 
     def character(byte: int) -> int:
