@@ -136,9 +136,10 @@ def _rows(segments: list[dict]) -> pa.Array:
     return pa.array([{**s, "pieces": [dict(zip(keys, p, strict=True)) for p in s["pieces"]]} for s in segments], _SEGMENT)
 
 
-def segments(docs: DataFrame, most: int = MOST, shared: int = SHARED, range_bytes: int = RANGE_BYTES, path: str | None = None) -> DataFrame:
+def segments(docs: DataFrame, most: int = MOST, shared: int = SHARED, range_bytes: int = RANGE_BYTES, path: str | None = None, cut: bool = True) -> DataFrame:
     """The ranges of all texts that can be oversized, tokenized and cut: doc_id, range_no, begin (byte), halo
-    (bytes of ``data`` before ``begin``), data, done (see ``segment``)."""
+    (bytes of ``data`` before ``begin``), data, done (see ``segment``). Without ``cut`` only the tokens are counted,
+    and the bytes don't come back from Python: doc_id, range_no, n_tokens."""
     at = path or vocabulary_path()
     back = shared * tokenizer(at).longest  # bytes that ``shared`` tokens have at most
 
@@ -155,6 +156,10 @@ def segments(docs: DataFrame, most: int = MOST, shared: int = SHARED, range_byte
             columns = {name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)}
             bodies = [d[h:] for d, h in zip(columns["data"], columns["halo"], strict=True)]
             texts = readable(pa.array(bodies, pa.binary()))
+            if not cut:
+                n = pa.array([len(ids) for ids in own.encode(texts)], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["doc_id", "range_no", "n_tokens"])
+                continue
             done = [
                 segment(t, ids, own.lengths, most, shared, begin > 0, level)
                 for t, ids, begin, level in zip(texts, own.encode(texts), columns["begin"], columns["end_level"], strict=True)
@@ -177,13 +182,13 @@ def segments(docs: DataFrame, most: int = MOST, shared: int = SHARED, range_byte
     data = F.substring("bytes", begin - halo + 1, end["at"] - begin + halo)
     ranges = spans.select("doc_id", "range_no", begin.alias("begin"), halo.alias("halo"), data.alias("data"), end["level"].alias("end_level"))
     ranges = spread(ranges, ["doc_id", "range_no"])  # only giant texts: their ranges are spread over the tasks
-    return short.unionByName(ranges).mapInArrow(tokenized, f"{schema}, done {SEGMENT}")
+    return short.unionByName(ranges).mapInArrow(tokenized, f"{schema}, done {SEGMENT}" if cut else "doc_id BIGINT, range_no INT, n_tokens INT")
 
 
 def oversized(docs: DataFrame, most: int = MOST, range_bytes: int = RANGE_BYTES, path: str | None = None) -> DataFrame:
     """doc_id and n_tokens of the texts of more than ``most`` tokens, from the ranges' token counts."""
-    counted = segments(docs, most, SHARED, range_bytes, path).select("doc_id", "range_no", F.col("done.n_tokens").alias("n"))
-    return counted.groupBy("doc_id").agg(F.sum("n").alias("n_tokens")).where(F.col("n_tokens") > most)
+    counted = segments(docs, most, SHARED, range_bytes, path, cut=False)
+    return counted.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens")).where(F.col("n_tokens") > most)
 
 
 def pieces(docs: DataFrame, most: int = MOST, shared: int = SHARED, range_bytes: int = RANGE_BYTES, path: str | None = None) -> DataFrame:
