@@ -92,6 +92,8 @@ def salted_aggregate(df: DataFrame, group: str, key: str, aggregates: list[Merge
 def over_share(df: DataFrame, group: str, key: str, percent: int) -> DataFrame:
     """(group, key) with at least ``percent`` % of all rows of the group, rows with a null key included."""
     per_key = salted_aggregate(df, group, key, [rows("n_rows")], share=percent / 100)
-    totals = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_all"))  # one row per group, a small dimension
+    totals = per_key.groupBy(group).agg(F.sum("n_rows").alias("n_all"))  # one row per group, from the same partial results
     joined = per_key.join(F.broadcast(totals), group)
-    return joined.where(F.col(key).isNotNull() & (F.col("n_rows") * 100 >= F.col("n_all") * percent)).select(group, key, "n_rows", "n_all")
+    # one condition: a null check of its own would be pushed below the aggregation, which then runs twice
+    over = F.when(F.col(key).isNull(), False).otherwise(F.col("n_rows") * 100 >= F.col("n_all") * percent)
+    return joined.where(over).select(group, key, "n_rows", "n_all")
