@@ -61,6 +61,19 @@ def test_columns(spark):
     assert df.limit(0).select(ids).count() == 0
 
 
+def test_very_long_texts(spark):
+    texts = ["x" * 200_000, "word, " * 100_000, "茶壶很湿。" * 40_000, "\n" * 100_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    counts = {r.doc_id: r.n for r in df.select("doc_id", tokens.token_count(F.col("text")).alias("n")).collect()}
+    assert counts == dict(enumerate(len(i) for i in OWN.encode(texts)))
+    assert {r.doc_id: r.n_tokens for r in splitting.oversized(df).collect()} == {i: n for i, n in counts.items() if n > 512}
+    by = defaultdict(list)
+    for p in splitting.pieces(df).collect():
+        by[p.doc_id].append(p)
+    for i, own in by.items():
+        check_pieces(texts[i], own, 512, 32)
+
+
 # Packing
 
 
