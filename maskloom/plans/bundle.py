@@ -9,6 +9,7 @@ from maskloom.functions import boxes as B
 from maskloom.functions import runs as R
 from maskloom.operators import suppress as S
 from maskloom.operators import tracks as K
+from maskloom.operators.results import frame_tables
 from maskloom.plans import ap, cgf1, hota, teta
 from maskloom.plans.evaluating import _FRB, image_units, track_sets
 from maskloom.plans.views import once, once_sql, overlap_sql
@@ -126,6 +127,17 @@ def frame_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.frame_of_track(m, 2).select("id", "video_id", F.col("mask.counts").alias("counts"), "box")
 
 
+_VIDEO_FRAMES = f"(SELECT id AS video_id, CAST(unnest(range(len(file_names))) AS INTEGER) AS frame_index FROM {once_sql('video', 'file_names')} WHERE id IS NOT NULL)"
+
+
+@query(f"SELECT video_id, frame_index, row_number() OVER (ORDER BY video_id, frame_index) AS id FROM {_VIDEO_FRAMES}")
+def frame_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of all videos' frames, numbered."""
+    v = once(spark, sf_dir, "video", "file_names", "height", "width").where("id IS NOT NULL")
+    m = once(spark, sf_dir, "masklet", "video_id", "category_id", "iscrowd", "bboxes", "segmentations", "areas").limit(0)
+    return frame_tables(v, m)["images"].select("video_id", "frame_index", "id")
+
+
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY event_type")
 def streamed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters accumulated over the micro-batches of a file stream."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,6 +73,49 @@ def verdict(text: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
+class SessionLog:
+    """Requests as rows of an action log in a folder; sessions and plans are read from it.
+
+    Requests are dicts with ``type`` (start_session, add_prompt, remove_object, reset_session, close_session or
+    propagate) and ``session_id``. Each call appends one small file; many clients may write, as a row's ``seq`` is
+    the time in nanoseconds with the client's number in the last digits.
+    """
+
+    ACTIONS = {"add_prompt": "add", "refine_prompt": "refine", "remove_object": "remove"}
+    OTHERS = ("start_session", "reset_session", "close_session")
+    SCHEMA = "session_id STRING, seq BIGINT, type STRING, frame_idx INT, obj_ids ARRAY<BIGINT>"
+
+    def __init__(self, spark: SparkSession, folder: str, n_frames: int, client: int = 0):
+        self.spark, self.folder, self.n_frames, self.client = spark, folder, n_frames, client
+
+    def _append(self, session: str, kind: str, frame: int | None = None, ids: list[int] | None = None) -> None:
+        row = (session, time.time_ns() // 100 * 100 + self.client, kind, frame, ids)
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+
+    def is_open(self, session: str) -> bool:
+        return bool(open_sessions(self.rows().where(F.col("session_id") == session)).head(1))
+
+    def handle(self, request: dict) -> dict:
+        """Log the request; ``propagate`` also answers with what is to be done and logs that."""
+        kind, session = request["type"], request["session_id"]
+        if kind not in self.ACTIONS and kind not in self.OTHERS and kind != "propagate":
+            raise ValueError(f"unknown request type: {kind}")
+        if kind not in ("start_session", "close_session") and not self.is_open(session):
+            raise ValueError(f"no open session {session}; it may have expired")
+        if kind != "propagate":
+            self._append(session, self.ACTIONS.get(kind, kind), request.get("frame_idx"), request.get("obj_ids"))
+            return {"session_id": session}
+        log = self.rows().where(F.col("session_id") == session)
+        since = log.where(F.col("type").isin("start_session", "reset_session")).agg(F.max("seq").alias("s")).first()["s"]
+        todo = plan(log.where((F.col("seq") > since) & F.col("type").isin(*INSTANCE, *PROPAGATION)), self.n_frames).first()
+        answer = {"session_id": session, "propagation_type": todo["propagation_type"] if todo else "propagation_full", "obj_ids": todo["obj_ids"] if todo else None}
+        self._append(session, answer["propagation_type"], request.get("frame_idx"), answer["obj_ids"])
+        return answer
+
+
 class DatasetPlugin(Protocol):
     """A source of canonical frames."""
 

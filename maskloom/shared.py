@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,18 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     at = tempfile.mkdtemp(prefix="maskloom-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", at)
     spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _file(spark, path)
+    return system.exists(at)
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, system = _file(spark, path)
+    system.delete(at, True)
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -56,8 +67,6 @@ def _forget(spark: SparkSession, path: str) -> None:
         delete(spark, path)
     except Exception:  # the session has ended already
         if os.path.isdir(local := path.removeprefix("file://")):
-            import shutil
-
             shutil.rmtree(local, ignore_errors=True)
 
 
