@@ -1,10 +1,11 @@
 """Counts of every term, kept up to date by signed deltas.
 
-The state is two tables in a folder: the records' current texts, and the counts per term, partitioned by a
-hash of the term. A batch of deliveries is compared with the state: a new record adds its terms, a changed
-one takes its old terms away and adds the new ones, a deleted one takes them away, a copy changes
-nothing. Only these records are read into terms; their signed numbers are summed per term before
-the shuffle (so frequent terms are no load) and merged into the counts.
+The state is a folder with the records' texts, appended version by version, the counts per term, partitioned by
+a hash of the term, and the number of records, which is written last and so commits a version. A batch of
+deliveries is compared with the latest versions of its own ids: a new record adds its terms, a changed one
+takes its old terms away and adds the new ones, a deleted one takes them away, a copy changes nothing. Only
+added, changed and deleted records are read into terms and appended; their signed numbers are summed per term
+before the shuffle (so frequent terms are no load) and merged into the counts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.shared import delete, scratch
+from maskloom.shared import delete, exists, materialize, scratch
 
 TERM = r"[\p{L}\p{N}]+"
 BUCKETS = 16
@@ -42,47 +43,56 @@ def signed_deltas(changes: DataFrame) -> DataFrame:
 
 
 class TermCounts:
-    """Persistent counts; ``apply`` merges a batch, ``counts`` and ``n_records`` read the state.
+    """Persistent counts; ``apply`` merges a batch, ``counts`` and ``n_records`` read the state. An existing folder is
+    taken up where its last committed version ends; what a failed batch left behind is overwritten.
 
     Defined cases: null ids are no records; null texts, null elements and empty texts have no terms, their
     records still count in ``n_records``; counts that fall to 0 disappear; an empty batch changes nothing.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder, self.version = spark, folder or scratch(spark, "terms"), 0
+        self.spark, self.folder = spark, folder or scratch(spark, "terms")
+        self.version, self.size = 0, 0
+        if exists(spark, f"{self.folder}/size"):
+            last = spark.read.schema("size BIGINT, version INT").parquet(f"{self.folder}/size").orderBy(F.col("version").desc()).first()
+            self.version, self.size = last["version"], last["size"]
 
     def _at(self, table: str, version: int) -> str:
-        return f"{self.folder}/{table}-{version}"
+        return f"{self.folder}/{table}/version={version}"
 
-    def _records(self) -> DataFrame | None:
-        return self.spark.read.schema(self._schema).parquet(self._at("records", self.version)) if self.version else None
+    def _known(self, ids: DataFrame) -> DataFrame:
+        """_id and _texts of the records that are alive, of ``ids`` only."""
+        log = self.spark.read.parquet(f"{self.folder}/records").where(F.col("version") <= self.version)
+        own = log.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.max_by(F.struct("texts", "deleted"), "version").alias("v"))
+        return own.where("NOT v.deleted").select(F.col("id").alias("_id"), F.col("v.texts").alias("_texts"))
 
     def apply(self, batch: DataFrame) -> None:
         """``batch``: id, texts ARRAY<STRING>, deleted BOOLEAN, delivered_at."""
-        new, old, to = latest(batch), self._records(), self.version + 1
-        if old is None:
-            records = new.where(~F.col("deleted")).select("id", "texts")
+        new, to = latest(batch), self.version + 1
+        at = self._at("records", to)
+        if not self.version:  # everything is added
+            new.where("NOT deleted").write.mode("overwrite").parquet(at)
+            added = self.spark.read.schema(new.schema).parquet(at)
+            deltas, grown = signed_deltas(added.select(F.lit(1).alias("sign"), "texts")), added.count()
         else:
-            before = old.withColumnsRenamed({"id": "_id", "texts": "_texts"})
-            both = new.join(before, F.col("id") == F.col("_id"), "full")
-            records = both.where(F.col("id").isNull() | ~F.col("deleted")).select(F.coalesce("id", "_id").alias("id"), F.when(F.col("id").isNull(), F.col("_texts")).otherwise(F.col("texts")).alias("texts"))
-        self._schema = records.schema
-        records.write.parquet(self._at("records", to))
-        if old is None:
-            changes = self.spark.read.schema(self._schema).parquet(self._at("records", to)).select(F.lit(1).alias("sign"), "texts")
-        else:
-            touched = both.where(F.col("id").isNotNull() & (F.col("deleted") | F.col("_id").isNull() | ~F.col("texts").eqNullSafe(F.col("_texts"))))
-            gone = touched.where(F.col("_id").isNotNull()).select(F.lit(-1).alias("sign"), F.col("_texts").alias("texts"))
-            changes = gone.unionByName(touched.where(~F.col("deleted")).select(F.lit(1).alias("sign"), "texts"))
-        deltas = signed_deltas(changes).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+            new = materialize(new, "batch")
+            both = new.join(self._known(new), F.col("id") == F.col("_id"), "left")
+            gone, came = F.col("_id").isNotNull(), ~F.col("deleted")
+            changed = both.where((came & ~gone) | (gone & ~came) | (came & gone & ~F.col("texts").eqNullSafe(F.col("_texts"))))
+            changed = materialize(changed, "changed")
+            changed.select("id", "texts", "deleted").write.mode("overwrite").parquet(at)
+            signed = changed.where(gone).select(F.lit(-1).alias("sign"), F.col("_texts").alias("texts")).unionByName(changed.where(came).select(F.lit(1).alias("sign"), "texts"))
+            grown = changed.agg(F.sum(F.when(came & ~gone, 1).when(gone & ~came, -1).otherwise(0)).alias("n")).first()["n"] or 0
+            deltas = signed_deltas(signed)
+        deltas = deltas.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
         summed = deltas.select("bucket", "term", F.col("d_occurrences").alias("n_occurrences"), F.col("d_records").alias("n_records"))
-        if old is not None:
+        if self.version:
             summed = summed.unionByName(self.counts()).groupBy("bucket", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
-        summed.where("n_records <> 0 OR n_occurrences <> 0").write.partitionBy("bucket").parquet(self._at("counts", to))
-        self.version = to
-        if old is not None:
-            for table in ("records", "counts"):
-                delete(self.spark, self._at(table, to - 1))
+        summed.where("n_records <> 0 OR n_occurrences <> 0").write.mode("overwrite").partitionBy("bucket").parquet(self._at("counts", to))
+        self.spark.range(1).select(F.lit(self.size + grown).cast("long").alias("size")).write.mode("overwrite").parquet(self._at("size", to))
+        if self.version:
+            delete(self.spark, self._at("counts", self.version))
+        self.version, self.size = to, self.size + grown
 
     def counts(self) -> DataFrame:
         """bucket, term, n_occurrences, n_records."""
@@ -92,11 +102,11 @@ class TermCounts:
         return self.spark.read.schema(schema).parquet(self._at("counts", self.version)).select("bucket", "term", "n_occurrences", "n_records")
 
     def n_records(self) -> int:
-        return self._records().count() if self.version else 0
+        return self.size
 
     def marked(self, rare: int = 2, common: tuple[int, int] = (1, 5)) -> DataFrame:
         """Counts with a mark: ``rare`` in at most so many records, ``common`` in more than that share of all
         records (those without terms included), else null."""
-        many = F.col("n_records") * common[1] > F.lit(self.n_records() * common[0])
+        many = F.col("n_records") * common[1] > F.lit(self.size * common[0])
         mark = F.when(F.col("n_records") <= rare, "rare").when(many, "common")
         return self.counts().select("term", "n_occurrences", "n_records", mark.alias("mark"))

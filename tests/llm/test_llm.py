@@ -207,6 +207,7 @@ def test_signed_deltas(spark):
     store = terms.TermCounts(spark)
     for batch in (one, two, []):
         store.apply(spark.createDataFrame(batch, schema))
+        store = terms.TermCounts(spark, store.folder)  # taken up from the folder
         for i, texts, deleted, *_ in batch:
             if i is not None:
                 state.pop(i, None) if deleted else state.update({i: texts})
