@@ -194,9 +194,22 @@ def images_with_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
   k AS (SELECT chunk, count(*) AS n FROM c GROUP BY chunk), p AS (SELECT DISTINCT v.video_id, c.chunk, v.category_id FROM video_np_pair v JOIN c USING (category_id))
   SELECT v.id AS video_id, k.chunk, k.n AS n_categories, count(p.category_id) AS n_positive FROM {once_sql('video', 'length')} v CROSS JOIN k LEFT JOIN p ON p.video_id = v.id AND p.chunk = k.chunk GROUP BY ALL""")
 def category_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every video with every chunk of 100 categories, with its positives: a query batch with negatives. The
-    chunks, a few numbers of the fixed category table, are exploded; nothing is joined without a key."""
-    c = once(spark, sf_dir, "category", "name").where("id <= 300").select(F.col("id").alias("category_id"))
+    """Every video with every chunk of 100 categories, with its positives: a query batch with negatives. Only the
+    categories up to id 300, as in its SQL; ``category_chunks_all`` has all of them."""
+    return _chunks(spark, sf_dir, once(spark, sf_dir, "category", "name").where("id <= 300"))
+
+
+@query(f"""WITH c AS (SELECT id AS category_id, (row_number() OVER (ORDER BY id) - 1) // 100 AS chunk FROM {once_sql('category', 'name')} WHERE id IS NOT NULL),
+  k AS (SELECT chunk, count(*) AS n FROM c GROUP BY chunk), p AS (SELECT DISTINCT v.video_id, c.chunk, v.category_id FROM video_np_pair v JOIN c USING (category_id))
+  SELECT v.id AS video_id, k.chunk, k.n AS n_categories, count(p.category_id) AS n_positive FROM {once_sql('video', 'length')} v CROSS JOIN k LEFT JOIN p ON p.video_id = v.id AND p.chunk = k.chunk GROUP BY ALL""")
+def category_chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every video with every chunk of 100 categories of the whole table, with its positives."""
+    return _chunks(spark, sf_dir, once(spark, sf_dir, "category", "name").where("id IS NOT NULL"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str, categories: DataFrame) -> DataFrame:
+    """The chunks, a few numbers of the fixed category table, are exploded; nothing is joined without a key."""
+    c = categories.select(F.col("id").alias("category_id"))
     c = c.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("category_id")) - 1) / 100).cast("long"))
     sizes = [(r["chunk"], r["count"]) for r in c.groupBy("chunk").count().collect()]
     chunks = F.array(*(F.struct(F.lit(k).cast("long").alias("chunk"), F.lit(n).cast("long").alias("n_categories")) for k, n in sizes))
