@@ -100,12 +100,26 @@ _XB = "[greatest(least(b[1] - 50, 300.0), 0.0), greatest(least(b[2] - 40, 200.0)
 @query(f"""WITH o AS (SELECT datapoint_id, unnest(images[1].objects) AS o FROM {_D1} WHERE len(images) > 0), b AS (SELECT datapoint_id, o.object_id AS object_id, o.bbox AS b FROM o WHERE o.bbox[4] IS NOT NULL AND o.bbox[1] + o.bbox[2] + o.bbox[3] IS NOT NULL)
   SELECT datapoint_id, object_id, CASE WHEN ({_XB})[3] > ({_XB})[1] AND ({_XB})[4] > ({_XB})[2] THEN {_XB} END AS crop, [640 - b[3], b[2], 640 - b[1], b[4]] AS flip, [b[1] * 2, b[2] * 0.5, b[3] * 2, b[4] * 0.5] AS resize, [b[1] + 10, b[2] + 20, b[3] + 10, b[4] + 20] AS pad FROM b""")
 def sample_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crop, flip, resize and pad of the first image's objects."""
-    o = _datapoints(spark, sf_dir).select("datapoint_id", F.explode(F.get("images", F.lit(0))["objects"]).alias("o")).select("datapoint_id", "o.object_id", F.col("o.bbox").alias("b"))
+    """Crop, flip, resize and pad of the first image's objects, as in its SQL; ``sample_geometry_all`` has those of
+    all images."""
+    o = _datapoints(spark, sf_dir).select("datapoint_id", F.explode(F.get("images", F.lit(0))["objects"]).alias("o"))
+    return _transformed(o, ["datapoint_id"])
+
+
+@query(f"""WITH i AS (SELECT datapoint_id, CAST(unnest(range(len(images))) AS INTEGER) AS image, unnest(images) AS i FROM {_D1}), o AS (SELECT datapoint_id, image, unnest(i.objects) AS o FROM i), b AS (SELECT datapoint_id, image, o.object_id AS object_id, o.bbox AS b FROM o WHERE o.bbox[4] IS NOT NULL AND o.bbox[1] + o.bbox[2] + o.bbox[3] IS NOT NULL)
+  SELECT datapoint_id, image, object_id, CASE WHEN ({_XB})[3] > ({_XB})[1] AND ({_XB})[4] > ({_XB})[2] THEN {_XB} END AS crop, [640 - b[3], b[2], 640 - b[1], b[4]] AS flip, [b[1] * 2, b[2] * 0.5, b[3] * 2, b[4] * 0.5] AS resize, [b[1] + 10, b[2] + 20, b[3] + 10, b[4] + 20] AS pad FROM b""")
+def sample_geometry_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crop, flip, resize and pad of every image's objects; ``image`` is the image's position from 0 on."""
+    i = _datapoints(spark, sf_dir).select("datapoint_id", F.posexplode("images").alias("image", "i"))
+    return _transformed(i.select("datapoint_id", "image", F.explode("i.objects").alias("o")), ["datapoint_id", "image"])
+
+
+def _transformed(objects: DataFrame, keys: list[str]) -> DataFrame:
+    o = objects.select(*keys, "o.object_id", F.col("o.bbox").alias("b"))
     o = o.where((B.at(F.col("b"), 0) + B.at(F.col("b"), 1) + B.at(F.col("b"), 2) + B.at(F.col("b"), 3)).isNotNull())
     b, none = F.col("b"), F.array().cast("array<array<double>>")
     crop, _ = X.cropped(b, none, F.lit(50.0), F.lit(40.0), F.lit(300.0), F.lit(200.0))
-    return o.select("datapoint_id", "object_id", crop.alias("crop"), B.flip_xyxy(b, F.lit(640.0)).alias("flip"), X.resized(b, F.lit(2.0), F.lit(0.5)).alias("resize"), B.pad_xyxy(b, F.lit(10.0), F.lit(20.0)).alias("pad"))
+    return o.select(*keys, "object_id", crop.alias("crop"), B.flip_xyxy(b, F.lit(640.0)).alias("flip"), X.resized(b, F.lit(2.0), F.lit(0.5)).alias("resize"), B.pad_xyxy(b, F.lit(10.0), F.lit(20.0)).alias("pad"))
 
 
 _LOG = """(SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'refine' WHEN 'purchase' THEN 'propagation_partial' ELSE 'remove' END AS type, event_id % 20 AS frame_idx, [event_id % 9] AS obj_ids FROM events)"""

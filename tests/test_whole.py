@@ -16,3 +16,14 @@ def test_chunks_of_all_categories(spark, sf):
     videos = table(spark, sf, "video").select("id").distinct()
     pairs = table(spark, sf, "video_np_pair").select("video_id", "category_id").distinct().join(videos, F.col("video_id") == F.col("id"), "left_semi")
     assert sum(r.n_positive for r in rows) == pairs.where(F.col("category_id").isin(ids)).count()
+
+
+def test_geometry_of_all_images(spark, sf):
+    rows = registry.QUERIES["sample_geometry_all"](spark, sf)
+    first = registry.QUERIES["sample_geometry"](spark, sf)
+    n = {r.image: r.n for r in rows.groupBy("image").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(n) > {0, 1} and n[0] == first.count() < rows.count()
+    d = table(spark, sf, "datapoint").select("datapoint_id", "images").dropDuplicates(["datapoint_id"])
+    o = d.select("datapoint_id", F.posexplode("images").alias("image", "i")).select("datapoint_id", "image", F.explode("i.objects").alias("o"))
+    whole = o.where("size(o.bbox) >= 4 AND NOT exists(slice(o.bbox, 1, 4), v -> v IS NULL)")
+    assert rows.count() == whole.count()
