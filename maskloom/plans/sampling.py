@@ -12,7 +12,7 @@ from maskloom.operators.grouped import first_copy
 from maskloom.plans import hota, session, teta
 from maskloom.plans.evaluating import track_sets
 from maskloom.plans.views import once, once_sql
-from maskloom.shared import scratch, table
+from maskloom.shared import materialize, scratch, table
 from maskloom.streaming import tracker
 
 QUERIES, SQL = {}, {}
@@ -73,7 +73,8 @@ def stage_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT datapoint_id, len(bool) AS n, list_transform(bool, lambda o: len(o)) AS sizes FROM (SELECT datapoint_id, list_transform(images, lambda i: list_resize(list_transform(coalesce(i.objects, []), lambda o: o.area), 6, -1.0)) AS bool FROM {_D1})""")
 def padded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Areas of each image's objects, padded or cut to 6."""
+    """Sizes of each image's areas after they are padded or cut to 6, as in its SQL; ``padded_areas`` cuts nothing
+    and has the values."""
     def six(i):
         a = F.transform(F.coalesce(i["objects"], F.array()), lambda o: o["area"])
         return F.slice(R.pad(a, F.greatest(F.size(a), F.lit(6)), F.lit(-1.0)), 1, 6)
@@ -82,6 +83,17 @@ def padded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("datapoint_id", F.when(F.col("p").isNotNull(), F.size("p")).cast("long").alias("n"), F.transform("p", lambda x: F.size(x).cast("long")).alias("sizes"))
 
 
+@query(f"""WITH d AS (SELECT datapoint_id, list_transform(images, lambda i: list_transform(coalesce(i.objects, []), lambda o: o.area)) AS a FROM {_D1}), m AS (SELECT max(len(x)) AS longest FROM (SELECT unnest(a) AS x FROM d))
+  SELECT datapoint_id, list_transform(a, lambda x: CAST(len(x) AS INTEGER)) AS sizes, list_transform(a, lambda x: list_resize(x, m.longest, -1.0)) AS areas FROM d CROSS JOIN m""")
+def padded_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of each image's objects, padded with -1 to the longest list of the table, which is one batch here;
+    ``sizes`` are the lengths without padding."""
+    areas = F.transform("images", lambda i: F.transform(F.coalesce(i["objects"], F.array()), lambda o: o["area"]))
+    d = materialize(_datapoints(spark, sf_dir).select("datapoint_id", areas.alias("a")), "areas")
+    longest = d.agg(F.max(F.array_max(F.transform("a", F.size)))).first()[0] or 0
+    return d.select("datapoint_id", F.transform("a", lambda x: F.size(x)).alias("sizes"), F.transform("a", lambda x: R.pad(x, F.lit(longest), F.lit(-1.0))).alias("areas"))
+
+
 @query()
 def capped_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = X.cap_queries(_datapoints(spark, sf_dir), 2, 5, positives_first=True)

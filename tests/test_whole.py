@@ -27,3 +27,14 @@ def test_geometry_of_all_images(spark, sf):
     o = d.select("datapoint_id", F.posexplode("images").alias("image", "i")).select("datapoint_id", "image", F.explode("i.objects").alias("o"))
     whole = o.where("size(o.bbox) >= 4 AND NOT exists(slice(o.bbox, 1, 4), v -> v IS NULL)")
     assert rows.count() == whole.count()
+
+
+def test_areas_padded_to_the_longest(spark, sf):
+    rows = registry.QUERIES["padded_areas"](spark, sf).collect()
+    sizes = [n for r in rows for n in r.sizes]
+    assert max(sizes) > 6
+    assert {len(a) for r in rows for a in r.areas} == {max(sizes)}
+    d = {r.datapoint_id: [[o.area for o in i.objects or []] for i in r.images] for r in table(spark, sf, "datapoint").select("datapoint_id", "images").collect()}
+    for r in rows:
+        assert [a[:n] for a, n in zip(r.areas, r.sizes, strict=True)] == d[r.datapoint_id]
+        assert all(v == -1.0 for a, n in zip(r.areas, r.sizes, strict=True) for v in a[n:])
