@@ -44,6 +44,7 @@ def one_based(df: DataFrame, key: str, refs: dict[str, tuple[DataFrame, str]]) -
 def explode_tracks(tracks: DataFrame, keys: list[str]) -> DataFrame:
     """Tracks (parallel arrays bboxes, segmentations, areas) as one row per frame that has a box or mask:
     keys, frame, box, mask, area (w * h where none is given). Arrays may be null or of different lengths."""
+    tracks = tracks.withColumns({c: F.coalesce(c, F.array()) for c in ("bboxes", "segmentations", "areas")})
     f = tracks.select(*keys, F.posexplode(F.arrays_zip("bboxes", "segmentations", "areas")).alias("frame", "z"))
     f = f.select(*keys, "frame", F.col("z.bboxes").alias("box"), F.col("z.segmentations").alias("mask"), F.col("z.areas").alias("area"))
     f = f.where(~B.is_zero(F.col("box")) | F.col("mask").isNotNull())

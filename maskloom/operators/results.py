@@ -20,19 +20,38 @@ def result_rows(predictions: DataFrame) -> DataFrame:
     return rows.select("image_id", *own, *([F.col("z.masks").alias("segmentation")] if masks else []))
 
 
-def frame_tables(videos: DataFrame, tracks: DataFrame) -> dict[str, DataFrame]:
+def frame_images(videos: DataFrame) -> DataFrame:
+    """Frames of videos, numbered by (video, frame) from 1 on."""
+    f = videos.select(F.col("id").alias("video_id"), "height", "width", F.posexplode("file_names").alias("frame_index", "file_name"))
+    return number_rows(f, ["video_id", "frame_index"], "id", 1)
+
+
+def track_rows(tracks: DataFrame) -> DataFrame:
+    return explode_tracks(tracks, ["id", "video_id", "category_id", "iscrowd"]).withColumnsRenamed({"id": "track_id", "frame": "frame_index", "box": "bbox", "mask": "segmentation"})
+
+
+def frame_tables(videos: DataFrame, tracks: DataFrame, strict: bool = True) -> dict[str, DataFrame]:
     """images and annotations of videos and tracks, as documents of single frames have them: images are numbered
     by (video, frame), annotations by (video, frame, track), both from 1 on. A track's frame that its video doesn't
-    have is an error when read."""
-    f = videos.select(F.col("id").alias("video_id"), "height", "width", F.posexplode("file_names").alias("frame_index", "file_name"))
-    images = number_rows(f, ["video_id", "frame_index"], "id", 1)
-    rows = explode_tracks(tracks, ["id", "video_id", "category_id", "iscrowd"]).withColumnsRenamed({"id": "track_id", "frame": "frame_index", "box": "bbox", "mask": "segmentation"})
-    keyed = rows.join(images.select("video_id", "frame_index", F.col("id").alias("image_id")), ["video_id", "frame_index"], "left")
-    known = F.when(F.col("image_id").isNotNull(), F.col("image_id")).otherwise(F.raise_error(F.concat(F.lit("no frame "), F.col("frame_index").cast("string"), F.lit(" in video "), F.coalesce(F.col("video_id").cast("string"), F.lit("null")))))
-    annotations = number_rows(keyed.withColumn("image_id", known), ["video_id", "frame_index", "track_id"], "id", 1)
+    have is an error when read; if not ``strict``, it has no annotation but is among ``dangling_frames``."""
+    images = frame_images(videos)
+    keyed = track_rows(tracks).join(images.select("video_id", "frame_index", F.col("id").alias("image_id")), ["video_id", "frame_index"], "left" if strict else "inner")
+    if strict:
+        known = F.when(F.col("image_id").isNotNull(), F.col("image_id")).otherwise(F.raise_error(F.concat(F.lit("no frame "), F.col("frame_index").cast("string"), F.lit(" in video "), F.coalesce(F.col("video_id").cast("string"), F.lit("null")))))
+        keyed = keyed.withColumn("image_id", known)
+    annotations = number_rows(keyed, ["video_id", "frame_index", "track_id"], "id", 1)
     return {"images": images, "annotations": annotations}
 
 
+def dangling_frames(videos: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Tracks' frames without an image, with the ``reason``: the reference is null, its video is missing, or the
+    video has no such frame."""
+    v = videos.select(F.col("id").alias("video_id"), F.lit(True).alias("_video"), F.coalesce(F.size("file_names"), F.lit(0)).alias("_n"))
+    r = track_rows(tracks).join(v, "video_id", "left")
+    reason = F.when(F.col("video_id").isNull(), "null").when(F.col("_video").isNull(), "video").when(F.col("frame_index") >= F.col("_n"), "frame")
+    return r.withColumn("reason", reason).where("reason IS NOT NULL").drop("_video", "_n")
+
+
 def stages_together(parts: list[DataFrame]) -> DataFrame:
     """Outputs of several stages as one table, with ``stage`` from 0 on."""
     out = None

@@ -9,7 +9,7 @@ from maskloom.functions import boxes as B
 from maskloom.functions import runs as R
 from maskloom.operators import suppress as S
 from maskloom.operators import tracks as K
-from maskloom.operators.results import frame_tables
+from maskloom.operators.results import dangling_frames, frame_images, frame_tables
 from maskloom.plans import ap, cgf1, hota, teta
 from maskloom.plans.evaluating import _FRB, image_units, track_sets
 from maskloom.plans.views import once, once_sql, overlap_sql
@@ -133,9 +133,35 @@ _VIDEO_FRAMES = f"(SELECT id AS video_id, CAST(unnest(range(len(file_names))) AS
 @query(f"SELECT video_id, frame_index, row_number() OVER (ORDER BY video_id, frame_index) AS id FROM {_VIDEO_FRAMES}")
 def frame_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of all videos' frames, numbered."""
-    v = once(spark, sf_dir, "video", "file_names", "height", "width").where("id IS NOT NULL")
-    m = once(spark, sf_dir, "masklet", "video_id", "category_id", "iscrowd", "bboxes", "segmentations", "areas").limit(0)
-    return frame_tables(v, m)["images"].select("video_id", "frame_index", "id")
+    return frame_images(_videos(spark, sf_dir)).select("video_id", "frame_index", "id")
+
+
+_TRACK_FRAMES = f"""(WITH m AS (SELECT id AS track_id, video_id, category_id, iscrowd, coalesce(bboxes, []) AS b, coalesce(segmentations, []) AS s, coalesce(areas, []) AS a FROM {once_sql('masklet', 'video_id', 'category_id', 'iscrowd', 'bboxes', 'segmentations', 'areas')}),
+  u AS (SELECT *, unnest(range(greatest(len(b), len(s), len(a)))) AS i FROM m), f AS (SELECT track_id, video_id, category_id, iscrowd, CAST(i AS INTEGER) AS frame_index, b[i + 1] AS bbox, s[i + 1] AS mask, a[i + 1] AS area FROM u)
+  SELECT track_id, video_id, category_id, iscrowd, frame_index, bbox, mask, coalesce(area, bbox[3] * bbox[4]) AS area FROM f WHERE mask IS NOT NULL OR (len(bbox) >= 4 AND len(list_filter(bbox, lambda v: v > 0)) > 0))"""
+
+
+def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "video", "file_names", "height", "width").where("id IS NOT NULL")
+
+
+def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "masklet", "video_id", "category_id", "iscrowd", "bboxes", "segmentations", "areas")
+
+
+@query(f"""WITH i AS (SELECT video_id, frame_index, row_number() OVER (ORDER BY video_id, frame_index) AS image_id FROM {_VIDEO_FRAMES})
+  SELECT row_number() OVER (ORDER BY video_id, frame_index, track_id) AS id, image_id, track_id, video_id, frame_index, category_id, iscrowd, bbox, area, mask.counts AS counts FROM {_TRACK_FRAMES} t JOIN i USING (video_id, frame_index)""")
+def frame_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of all tracks, numbered, with their images' numbers; those without an image are in ``frame_dangling``."""
+    a = frame_tables(_videos(spark, sf_dir), _tracks(spark, sf_dir), strict=False)["annotations"]
+    return a.select("id", "image_id", "track_id", "video_id", "frame_index", "category_id", "iscrowd", "bbox", "area", F.col("segmentation.counts").alias("counts"))
+
+
+@query(f"""SELECT track_id, t.video_id, frame_index, CASE WHEN t.video_id IS NULL THEN 'null' WHEN v.id IS NULL THEN 'video' ELSE 'frame' END AS reason FROM {_TRACK_FRAMES} t
+  LEFT JOIN {once_sql('video', 'file_names')} v ON t.video_id = v.id WHERE v.id IS NULL OR frame_index >= coalesce(len(v.file_names), 0)""")
+def frame_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks' frames that refer to no video or to a missing video or frame."""
+    return dangling_frames(_videos(spark, sf_dir), _tracks(spark, sf_dir)).select("track_id", "video_id", "frame_index", "reason")
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY event_type")

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from maskloom.functions import runs as R
+from maskloom.operators.reshape import explode_tracks
+from maskloom.operators.results import dangling_frames, frame_tables
 from maskloom.plans import registry
 from maskloom.shared import table
 
@@ -38,3 +41,24 @@ def test_areas_padded_to_the_longest(spark, sf):
     for r in rows:
         assert [a[:n] for a, n in zip(r.areas, r.sizes, strict=True)] == d[r.datapoint_id]
         assert all(v == -1.0 for a, n in zip(r.areas, r.sizes, strict=True) for v in a[n:])
+
+
+def test_annotations_of_all_tracks(spark, sf):
+    rows = registry.QUERIES["frame_annotations"](spark, sf).collect()
+    lost = registry.QUERIES["frame_dangling"](spark, sf).collect()
+    m = table(spark, sf, "masklet").dropDuplicates(["id"])
+    tracks = {r.id for r in explode_tracks(m, ["id"]).select("id").distinct().collect()}
+    assert rows and lost and {r.track_id for r in rows} | {r.track_id for r in lost} == tracks
+    assert sorted(r.id for r in rows) == list(range(1, len(rows) + 1))
+    images = {r.id: (r.video_id, r.frame_index) for r in registry.QUERIES["frame_numbers"](spark, sf).collect()}
+    assert all(images[r.image_id] == (r.video_id, r.frame_index) for r in rows)
+    assert not {(r.video_id, r.frame_index) for r in lost} & set(images.values())
+
+
+def test_dangling_frames(spark):
+    v = spark.createDataFrame([(5, 2, 2, ["a"]), (6, 2, 2, None)], "id BIGINT, height INT, width INT, file_names ARRAY<STRING>")
+    box = [0.0, 0.0, 1.0, 2.0]
+    schema = f"id BIGINT, video_id BIGINT, category_id BIGINT, iscrowd INT, bboxes ARRAY<ARRAY<DOUBLE>>, segmentations ARRAY<{R.MASK}>, areas ARRAY<DOUBLE>"
+    t = spark.createDataFrame([(1, 5, 1, 0, [box, box], None, None), (2, None, 1, 0, [box], None, None), (3, 7, 1, 0, [box], None, [1.0]), (4, 6, 1, 0, [box], None, None)], schema)
+    assert {(r.track_id, r.frame_index, r.reason) for r in dangling_frames(v, t).collect()} == {(1, 1, "frame"), (2, 0, "null"), (3, 0, "video"), (4, 0, "frame")}
+    assert [(r.id, r.image_id, r.track_id, r.area) for r in frame_tables(v, t, strict=False)["annotations"].collect()] == [(1, 1, 1, 2.0)]
