@@ -76,7 +76,7 @@ def cuts(n: int, level_at: np.ndarray, aligned: np.ndarray, most: int, shared: i
     """(start, end, level of the end) of the pieces of ``n`` tokens. ``level_at[i]`` is the level of the end
     of token i - 1, ``aligned[i]`` tells whether no character is split there. If the range ``follows`` another,
     its first piece starts ``shared`` tokens before 0. A cut is the last one of the highest level in the
-    later half of what may be added."""
+    later half of what may be added, else in the first half."""
     out, start, end = [], -shared if follows else 0, 0
     while end < n:
         limit = start + most
@@ -86,6 +86,9 @@ def cuts(n: int, level_at: np.ndarray, aligned: np.ndarray, most: int, shared: i
         low = end + max(1, (limit - end) // 2)
         levels = level_at[low : limit + 1]
         best = int(levels.max())
+        if best == 0 and low > end + 1:
+            low, levels = end + 1, level_at[end + 1 : low]
+            best = int(levels.max())
         if best > 0:
             at = low + int(np.flatnonzero(levels == best)[-1])
         else:
