@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from maskloom.shared import materialize
@@ -47,19 +48,19 @@ def period_of(at: Column) -> Column:
     return F.coalesce(F.datediff(at, F.lit("1970-01-01").cast("date")), F.lit(ALWAYS))
 
 
-def first_deliveries(rows: DataFrame, table: str, refs: list[Reference]) -> DataFrame:
+def first_deliveries(rows: DataFrame, table: str, refs: list[Reference], kind: str = "long") -> DataFrame:
     """One row per (id, references) with the first delivery, then one per non-null reference:
     table_name, row_id, field_name, target, key, seen_at. Copies are combined before the shuffle."""
     fields = [r.field for r in refs]
     once = rows.groupBy("id", *fields).agg(F.min("delivered_at").alias("seen_at"))
-    per_field = F.array(*(F.struct(F.lit(r.field).alias("field_name"), F.lit(r.target).alias("target"), F.col(r.field).cast("long").alias("key")) for r in refs))
+    per_field = F.array(*(F.struct(F.lit(r.field).alias("field_name"), F.lit(r.target).alias("target"), F.col(r.field).cast(kind).alias("key")) for r in refs))
     flat = once.select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), "seen_at", F.inline(per_field))
     return flat.where(F.col("key").isNotNull())
 
 
-def target_times(rows: DataFrame, target: str) -> DataFrame:
+def target_times(rows: DataFrame, target: str, kind: str = "long") -> DataFrame:
     """target, key, arrived_at (first delivery), gone_at (smallest deleted_at of any delivery)."""
-    ids = rows.where(F.col("id").isNotNull()).groupBy(F.col("id").cast("long").alias("key"))
+    ids = rows.where(F.col("id").isNotNull()).groupBy(F.col("id").cast(kind).alias("key"))
     times = ids.agg(F.min("delivered_at").alias("arrived_at"), F.min("deleted_at").alias("gone_at"))
     return times.select(F.lit(target).alias("target"), "key", "arrived_at", "gone_at")
 
@@ -91,6 +92,25 @@ def in_doubt(refs: DataFrame, targets: DataFrame) -> DataFrame:
     return decoded.select("target", "period", (F.shiftleft("key_range", 6) + F.col("bit")).alias("key"))
 
 
+def integer_keys(tables: dict[str, DataFrame], references: list[Reference]) -> bool:
+    used = {(r.table, r.field) for r in references} | {(r.target, "id") for r in references}
+    return all(isinstance(tables[t].schema[c].dataType, IntegralType) for t, c in used)
+
+
+def key_codes(refs: DataFrame, targets: DataFrame, names: list[str]) -> DataFrame:
+    """target, key, code: a dictionary for each target."""
+    out = None
+    for name in names:
+        keys = refs.where(F.col("target") == name).select("key").unionByName(targets.where(F.col("target") == name).select("key"))
+        own = dictionary_encode(keys, "key").select(F.lit(name).alias("target"), "key", "code")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def coded(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    return rows.join(codes, ["target", "key"]).drop("key").withColumnRenamed("code", "key")
+
+
 def orphan_references(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
     """Every reference to a record that is missing, deleted or late: table_name, row_id, field_name, key,
     seen_at, reason.
@@ -100,18 +120,25 @@ def orphan_references(tables: dict[str, DataFrame], references: list[Reference])
     null target id is no record; copies of a row count once with the first delivery, ids delivered with
     differing references once per reference; a null id is an id like any other; a row without a time can
     only be ``missing``, a target without one is never ``late``. Empty tables give no rows, or all
-    references as ``missing``. ``missing`` goes before ``deleted`` before ``late``.
+    references as ``missing``. ``missing`` goes before ``deleted`` before ``late``. If any key isn't an
+    integer, all are compared as text by the codes of a dictionary, and ``key`` is that text.
     """
+    plain = integer_keys(tables, references)
+    kind = "long" if plain else "string"
     by_table: dict[str, list[Reference]] = {}
     for r in references:
         by_table.setdefault(r.table, []).append(r)
     refs = targets = None
     for name, own in by_table.items():
-        part = first_deliveries(tables[name], name, own)
+        part = first_deliveries(tables[name], name, own, kind)
         refs = part if refs is None else refs.unionByName(part)
-    for name in dict.fromkeys(r.target for r in references):
-        part = target_times(tables[name], name)
+    names = list(dict.fromkeys(r.target for r in references))
+    for name in names:
+        part = target_times(tables[name], name, kind)
         targets = part if targets is None else targets.unionByName(part)
+    if not plain:
+        codes = key_codes(refs, targets, names)
+        refs, targets = coded(refs, codes), coded(targets, codes)
     doubt = in_doubt(refs, targets).join(targets.withColumn("known", F.lit(True)), ["target", "key"], "left")
     rows = refs.withColumn("period", period_of(F.col("seen_at"))).join(doubt, ["target", "key", "period"])
     reason = (
@@ -119,6 +146,8 @@ def orphan_references(tables: dict[str, DataFrame], references: list[Reference])
         .when(F.col("gone_at") <= F.col("seen_at"), "deleted")
         .when(F.col("arrived_at") > F.col("seen_at"), "late")
     )
+    if not plain:
+        rows = rows.join(codes.withColumnsRenamed({"key": "text", "code": "key"}), ["target", "key"]).withColumn("key", F.col("text"))
     found = rows.select("table_name", "row_id", "field_name", "key", "seen_at", reason.alias("reason"))
     return found.where(F.col("reason").isNotNull())
 

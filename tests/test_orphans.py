@@ -43,3 +43,13 @@ def test_hot_key_and_report(spark):
 def test_dictionary_has_one_code_a_key(spark):
     codes = dictionary_encode(spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "k STRING"), "k").collect()
     assert len(codes) == 2 == len({c.code for c in codes})
+
+
+def test_text_keys(spark):
+    targets = spark.createDataFrame([("a", T(1), None), ("b", T(5), None), ("c", T(1), T(3)), (None, T(1), None)], "id STRING, delivered_at TIMESTAMP, deleted_at TIMESTAMP")
+    rows = spark.createDataFrame([(1, "a", T(2)), (2, "b", T(2)), (3, "c", T(4)), (4, "x", T(2)), (5, None, T(2)), (6, "007", T(2))], "id BIGINT, ref STRING, delivered_at TIMESTAMP")
+    numbers = spark.createDataFrame([(7, T(1), None)], "id BIGINT, delivered_at TIMESTAMP, deleted_at TIMESTAMP")
+    more = spark.createDataFrame([(8, 7, T(2)), (9, 6, T(2))], "id BIGINT, ref BIGINT, delivered_at TIMESTAMP")
+    references = [*REF, Reference("more", "ref", "numbers")]
+    out = orphan_references({"rows": rows, "targets": targets, "more": more, "numbers": numbers}, references).collect()
+    assert {(r.row_id, r.key, r.reason) for r in out} == {(2, "b", "late"), (3, "c", "deleted"), (4, "x", "missing"), (6, "007", "missing"), (9, "6", "missing")}
