@@ -162,12 +162,23 @@ def mask_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mask_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary length, dilated area, parts, inner centre and boundary F of each annotation's mask."""
+    """Boundary length, dilated area, parts, inner centre and boundary F with itself of each annotation's mask;
+    ``mask_boundary_overlap`` has boundary F of different masks."""
     a = once(spark, sf_dir, "annotation", "segmentation").where("segmentation IS NOT NULL")
     m = F.col("segmentation")
     return a.select("id", R.mask_area(R.mask_boundary(m)).alias("boundary"), R.mask_area(R.mask_dilated(m, 3)).alias("dilated"), R.mask_components(m).alias("parts"), R.mask_centre(m).alias("centre"), R.mask_boundary_f(m, m).alias("f"))
 
 
+@query()
+def mask_boundary_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary F of a track's masks in consecutive frames."""
+    from pyspark.sql.window import Window
+
+    f = _frames(spark, sf_dir).withColumn("mask2", F.lead("mask").over(Window.partitionBy("id").orderBy("frame")))
+    f = f.where("mask IS NOT NULL AND mask2 IS NOT NULL")
+    return f.select("id", "frame", R.mask_boundary_f(F.col("mask"), F.col("mask2")).alias("f"))
+
+
 @query(f"""SELECT id, CAST(max(area) AS BIGINT) AS largest, CAST(count(*) AS INTEGER) AS n FROM {_FRAMES} WHERE mask IS NOT NULL AND area IS NOT NULL GROUP BY id""")
 def mask_track_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _frames(spark, sf_dir).where("mask IS NOT NULL AND area IS NOT NULL").select("id", R.mask_area(F.col("mask")).alias("a"))

@@ -62,3 +62,13 @@ def test_dangling_frames(spark):
     t = spark.createDataFrame([(1, 5, 1, 0, [box, box], None, None), (2, None, 1, 0, [box], None, None), (3, 7, 1, 0, [box], None, [1.0]), (4, 6, 1, 0, [box], None, None)], schema)
     assert {(r.track_id, r.frame_index, r.reason) for r in dangling_frames(v, t).collect()} == {(1, 1, "frame"), (2, 0, "null"), (3, 0, "video"), (4, 0, "frame")}
     assert [(r.id, r.image_id, r.track_id, r.area) for r in frame_tables(v, t, strict=False)["annotations"].collect()] == [(1, 1, 1, 2.0)]
+
+
+def test_boundaries_of_different_masks(spark, sf):
+    rows = {(r.id, r.frame): r.f for r in registry.QUERIES["mask_boundary_overlap"](spark, sf).collect()}
+    assert any(f is not None and 0 < f < 1 for f in rows.values())
+    masks = {r.id: r.segmentations for r in table(spark, sf, "masklet").select("id", "segmentations").dropDuplicates(["id"]).collect()}
+    for (i, frame), f in list(rows.items())[:50]:
+        a, b = masks[i][frame], masks[i][frame + 1]
+        if f is not None:
+            assert abs(f - R.boundary_f(R.pixels(a.counts, a.size), R.pixels(b.counts, b.size))) < 1e-9
