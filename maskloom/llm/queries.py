@@ -89,6 +89,11 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens"), tokens.decoded(F.col("ids")).alias("text"))
 
 
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of each token, and the texts of slices of 16 tokens."""
+    return p7_ids(spark, sf_dir).select("doc_id", tokens.token_spans(F.col("ids")).alias("spans"), tokens.decoded_slices(F.col("ids"), 16).alias("slices"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens"))
     return packing.pack(items, CONTAINER)
@@ -106,7 +111,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p5_found, p5_counts, p6_found, p6_ranked, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p5_found, p5_counts, p6_found, p6_ranked, p7_ids, p7_decoded, p7_spans, p8_containers, p8_fill, p9_found, p9_pieces)}
 
 _STRATA = " UNION ALL ".join(
     f"SELECT '{name}' AS dimension_name, id, min({column}) AS stratum FROM {source} WHERE id IS NOT NULL GROUP BY id" for name, (source, column) in DIMENSIONS.items()

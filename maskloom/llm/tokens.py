@@ -166,3 +166,17 @@ def decoded(ids: Column, path: str | None = None) -> Column:
         return pa.array([None if v is None else own.decode(v) for v in values.to_pylist()], pa.string())
 
     return decode(ids)
+
+
+def decoded_slices(ids: Column, size: int, path: str | None = None) -> Column:
+    """ARRAY<STRING>: texts of consecutive slices of ``size`` of a text's ids, with a character split between slices in the one
+    that ends it; null for null, empty for no ids. Put together they are the whole text."""
+    at = path or vocabulary_path()
+
+    @F.arrow_udf("array<string>")
+    def decode(values: pa.Array) -> pa.Array:
+        own = tokenizer(at)
+        parts = lambda v: [v[k : k + size] for k in range(0, len(v), size)]
+        return pa.array([None if v is None else list(own.decode_parts(parts(v))) for v in values.to_pylist()], pa.list_(pa.string()))
+
+    return decode(ids)
