@@ -107,10 +107,9 @@ class Tracker:
     def _hotstart(self, frame: int, matched: dict[int, list[int]], hit: set[int], unmatched: list[int]) -> list[int]:
         s, gone, quiet = self.settings, [], []
         early = lambda i: self.objects[i].first_frame > frame - s.hotstart_delay
-        for own in matched.values():
-            for i in own:
-                o = self.objects[i]
-                o.keep_alive = min(s.keep_alive_high, o.keep_alive + 1)
+        for i in {i for own in matched.values() for i in own}:  # once a frame, however many detections match
+            o = self.objects[i]
+            o.keep_alive = min(s.keep_alive_high, o.keep_alive + 1)
         for i in unmatched:
             o = self.objects[i]
             o.unmatched += 1

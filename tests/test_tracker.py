@@ -48,6 +48,13 @@ def test_keep_alive_is_clamped():
     assert t.objects[0].keep_alive == -1
 
 
+def test_keep_alive_rises_once_a_frame():
+    t = Tracker(Settings(hotstart_delay=0, unmatched_limit=0, keep_alive_start=0, keep_alive_high=9, new_score=0.1))
+    t.step(0, [(0.9, A)], False)
+    t.step(1, [(0.9, A), (0.8, [1.0, 0.0, 10.0, 10.0])], False)
+    assert t.objects[0].keep_alive == 1
+
+
 def frames(spark):
     rng, rows = np.random.default_rng(9), []
     for video in range(6):
