@@ -123,12 +123,15 @@ def suppress_pairs(items: DataFrame, pairs: DataFrame, groups: list[str], hit: C
     return joined.select(*groups, F.explode(F.arrow_udf(keep, "array<bigint>")("ids", "edges")).alias("id"))
 
 
-def suppress_occluded(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Of two overlapping objects of a frame, the one occluded more recently is suppressed, all pairs at once.
+def suppress_occluded(pairs: DataFrame, threshold: float = 0.7, reverse: bool = False) -> DataFrame:
+    """Of two overlapping objects of a frame that both were occluded before, the one occluded more recently is
+    suppressed (``reverse``: the one longer ago), all pairs at once.
 
-    ``pairs``: frame, a, b (a < b), similarity, last_a, last_b (last occluded frame, null or -1: never). If only
-    one was ever occluded, that one goes; if both at the same frame, neither. Result: frame, id.
+    ``pairs``: frame, a, b (a < b), similarity, last_a, last_b (last occluded frame, null or -1: never). If one
+    of them never was occluded, or both at the same frame, neither goes. With ``reverse`` one that never was
+    occluded counts as longest ago, and goes. Result: frame, id.
     """
     last_a, last_b = F.coalesce("last_a", F.lit(-1)), F.coalesce("last_b", F.lit(-1))
-    loser = F.when(last_a > last_b, F.col("a")).when(last_b > last_a, F.col("b"))
+    more = lambda x, y: (x < y) if reverse else (x > y)
+    loser = F.when(more(last_a, last_b) & (last_b > -1), F.col("a")).when(more(last_b, last_a) & (last_a > -1), F.col("b"))
     return pairs.where(F.col("similarity") >= threshold).select("frame", loser.alias("id")).where(F.col("id").isNotNull()).distinct()
