@@ -52,12 +52,13 @@ def explode_tracks(tracks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pack_tracks(frames: DataFrame, keys: list[str], length: Column) -> DataFrame:
-    """The inverse: arrays by frame, null where a track has no row. ``frames`` has keys, frame, box, area and a
-    column of the track's number of frames."""
-    cell = F.struct("frame", "box", "area")
+    """The inverse: bboxes, segmentations and areas by frame, null where a track has no row. ``frames`` has keys,
+    frame, box, mask, area and a column of the track's number of frames."""
+    cell = F.struct("frame", "box", "mask", "area")
     packed = frames.groupBy(*keys).agg(F.max(length).alias("_n"), F.map_from_entries(F.collect_list(F.struct("frame", cell))).alias("_by"))
     at = F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0)))
-    return packed.select(*keys, F.transform(at, lambda i: F.try_element_at("_by", i)["box"]).alias("bboxes"), F.transform(at, lambda i: F.try_element_at("_by", i)["area"]).alias("areas"))
+    by_frame = lambda name: F.transform(at, lambda i: F.try_element_at("_by", i)[name])
+    return packed.select(*keys, by_frame("box").alias("bboxes"), by_frame("mask").alias("segmentations"), by_frame("area").alias("areas"))
 
 
 def pad(values: Column, longest: Column, filler: Column) -> Column:

@@ -98,10 +98,10 @@ def associate_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.associate(d, t, p)[0]
 
 
-@query(f"""WITH p AS (SELECT image_id, det, gt, 0.3 * score + 0.7 * iou AS s FROM {PAIRS_SQL} WHERE score BETWEEN 0 AND 1), c AS (SELECT image_id, gt, quantile_cont(s, 0.5) AS cut FROM p GROUP BY ALL)
+@query(f"""WITH p AS (SELECT image_id, det, gt, 0.3 * score + 0.7 * iou AS s FROM {PAIRS_SQL} WHERE score IS NOT NULL), c AS (SELECT image_id, gt, quantile_cont(s, 0.5) AS cut FROM p GROUP BY ALL)
   SELECT image_id, det, gt FROM p JOIN c USING (image_id, gt) WHERE s > cut AND s > 0.4""")
 def one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark, sf_dir).where("score BETWEEN 0 AND 1").select("image_id", F.col("det").alias("detection"), F.col("gt").alias("target"), F.col("score").alias("probability"), "iou")
+    p = pairs(spark, sf_dir).where("score IS NOT NULL").select("image_id", F.col("det").alias("detection"), F.col("gt").alias("target"), F.col("score").alias("probability"), "iou")
     return M.one_to_many(p, ["image_id"], quantile=0.5).select("image_id", F.col("detection").alias("det"), F.col("target").alias("gt"))
 
 
@@ -178,7 +178,7 @@ def ap_medium(spark: SparkSession, sf_dir: str) -> DataFrame:
 def track_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Ground-truth tracks, and a tracker's made from them: boxes moved by a few pixels, every seventh track
     missing, every third one broken in two."""
-    m = once(spark, sf_dir, "masklet", "video_id", "category_id", "bboxes", "areas").where("video_id IS NOT NULL AND category_id IS NOT NULL AND id IS NOT NULL AND bboxes IS NOT NULL AND areas IS NOT NULL")
+    m = once(spark, sf_dir, "masklet", "video_id", "category_id", "bboxes", "areas").where("video_id IS NOT NULL AND category_id IS NOT NULL AND id IS NOT NULL")
     g = hota.phrase_frames(m)
     dx, dy = (F.col("id") % 5 - 2).cast("double"), (F.col("t") % 5 - 2).cast("double")
     box = B.make(B.at(F.col("box"), 0) + dx, B.at(F.col("box"), 1) + dy, B.at(F.col("box"), 2), B.at(F.col("box"), 3))
@@ -199,8 +199,8 @@ def hota_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(*(hota.f_column(m) for m in [*hota.METRICS, "HOTA_0", "LocA_0", "HOTALocA_0"]))
 
 
-_GF = f"""(SELECT CAST(video_id AS VARCHAR) || ':' || CAST(category_id AS VARCHAR) AS seq, id, unnest(range(len(bboxes))) AS t, unnest(bboxes) AS box, unnest(list_resize(areas, len(bboxes))) AS area
-  FROM {once_sql('masklet', 'video_id', 'category_id', 'bboxes', 'areas')} WHERE video_id IS NOT NULL AND category_id IS NOT NULL AND id IS NOT NULL AND bboxes IS NOT NULL AND areas IS NOT NULL)"""
+_GF = f"""(SELECT CAST(video_id AS VARCHAR) || ':' || CAST(category_id AS VARCHAR) AS seq, id, unnest(range(len(bboxes))) AS t, unnest(bboxes) AS box, unnest(CASE WHEN areas IS NULL THEN list_transform(bboxes, lambda b: b[3] * b[4]) ELSE list_resize(areas, len(bboxes)) END) AS area
+  FROM {once_sql('masklet', 'video_id', 'category_id', 'bboxes', 'areas')} WHERE video_id IS NOT NULL AND category_id IS NOT NULL AND id IS NOT NULL)"""
 
 
 @query(f"""WITH g AS (SELECT * FROM {_GF} WHERE area > 0 AND len(box) >= 4 AND len(list_filter(box, lambda v: v > 0)) > 0),

@@ -9,10 +9,12 @@ from pyspark.sql.window import Window
 from maskloom.functions import boxes as B
 from maskloom.operators import filters as P
 from maskloom.operators.overlaps import overlapping
+from maskloom.operators.reshape import number_rows
 from maskloom.plans.views import DETECTED_SQL, TRUTH_SQL, detected, iou_sql, once, once_sql, truth
 from maskloom.shared import table
 
 QUERIES, SQL = {}, {}
+CHUNK = 100  #: categories of a query batch
 
 
 def query(sql: str | None = None):
@@ -190,30 +192,18 @@ def images_with_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.join(a, F.col("id") == F.col("_i"), "left").select("id", F.size(F.coalesce("ids", none)).cast("long").alias("n"), F.coalesce("ids", none).alias("ids"), F.col("ids").isNull().alias("negative"))
 
 
-@query(f"""WITH c AS (SELECT id AS category_id, (row_number() OVER (ORDER BY id) - 1) // 100 AS chunk FROM {once_sql('category', 'name')} WHERE id IS NOT NULL AND id <= 300),
-  k AS (SELECT chunk, count(*) AS n FROM c GROUP BY chunk), p AS (SELECT DISTINCT v.video_id, c.chunk, v.category_id FROM video_np_pair v JOIN c USING (category_id))
-  SELECT v.id AS video_id, k.chunk, k.n AS n_categories, count(p.category_id) AS n_positive FROM {once_sql('video', 'length')} v CROSS JOIN k LEFT JOIN p ON p.video_id = v.id AND p.chunk = k.chunk GROUP BY ALL""")
-def category_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every video with every chunk of 100 categories, with its positives: a query batch with negatives. Only the
-    categories up to id 300, as in its SQL; ``category_chunks_all`` has all of them."""
-    return _chunks(spark, sf_dir, once(spark, sf_dir, "category", "name").where("id <= 300"))
-
-
 @query(f"""WITH c AS (SELECT id AS category_id, (row_number() OVER (ORDER BY id) - 1) // 100 AS chunk FROM {once_sql('category', 'name')} WHERE id IS NOT NULL),
   k AS (SELECT chunk, count(*) AS n FROM c GROUP BY chunk), p AS (SELECT DISTINCT v.video_id, c.chunk, v.category_id FROM video_np_pair v JOIN c USING (category_id))
   SELECT v.id AS video_id, k.chunk, k.n AS n_categories, count(p.category_id) AS n_positive FROM {once_sql('video', 'length')} v CROSS JOIN k LEFT JOIN p ON p.video_id = v.id AND p.chunk = k.chunk GROUP BY ALL""")
-def category_chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every video with every chunk of 100 categories of the whole table, with its positives."""
-    return _chunks(spark, sf_dir, once(spark, sf_dir, "category", "name").where("id IS NOT NULL"))
-
-
-def _chunks(spark: SparkSession, sf_dir: str, categories: DataFrame) -> DataFrame:
-    """The chunks, a few numbers of the fixed category table, are exploded; nothing is joined without a key."""
-    c = categories.select(F.col("id").alias("category_id"))
-    c = c.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("category_id")) - 1) / 100).cast("long"))
-    sizes = [(r["chunk"], r["count"]) for r in c.groupBy("chunk").count().collect()]
-    chunks = F.array(*(F.struct(F.lit(k).cast("long").alias("chunk"), F.lit(n).cast("long").alias("n_categories")) for k, n in sizes))
-    v = once(spark, sf_dir, "video", "length").select(F.col("id").alias("video_id"), F.inline(chunks))
+def category_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every video with every chunk of 100 categories, with its positives: a query batch with negatives. All chunks
+    but the last are full, so their list follows from the number of categories alone."""
+    c = once(spark, sf_dir, "category", "name").where("id IS NOT NULL").select(F.col("id").alias("category_id"))
+    c = number_rows(c, ["category_id"], "_n").select("category_id", F.floor(F.col("_n") / CHUNK).cast("long").alias("chunk"))
+    n = c.count()
+    each = F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // CHUNK).cast("long")) if n else F.array().cast("array<bigint>")
+    v = once(spark, sf_dir, "video", "length").select(F.col("id").alias("video_id"), F.explode(each).alias("chunk"))
+    v = v.withColumn("n_categories", F.least(F.lit(CHUNK), F.lit(n) - F.col("chunk") * CHUNK).cast("long"))
     p = table(spark, sf_dir, "video_np_pair").join(c, "category_id").groupBy("video_id", "chunk").agg(F.count_distinct("category_id").alias("n_positive"))
     return v.join(p, ["video_id", "chunk"], "left").withColumn("n_positive", F.coalesce("n_positive", F.lit(0).cast("long")))
 
@@ -235,7 +225,7 @@ def nearest_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "click").alias("cond"), F.row_number().over(w.orderBy("ts", "event_id")).cast("long").alias("t"))
     t = F.when(F.col("cond"), F.col("t"))
     line = w.orderBy("t")
-    return e.select("user_id", "event_id", F.max(t).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min(t).over(line.rowsBetween(0, Window.unboundedFollowing)).alias("after"))
+    return e.select("user_id", "event_id", F.max(t).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min(t).over(w.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)).alias("after"))
 
 
 @query(f"""SELECT coalesce(m.video_id, p.video_id) AS video_id, coalesce(m.category_id, p.category_id) AS category_id, m.n AS n_masklets, p.n AS n_pairs FROM

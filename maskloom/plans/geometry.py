@@ -162,11 +162,11 @@ def mask_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mask_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary length, dilated area, parts, inner centre and boundary F with itself of each annotation's mask;
-    ``mask_boundary_overlap`` has boundary F of different masks."""
+    """Boundary length, dilated area, parts and inner centre of each annotation's mask; ``mask_boundary_overlap``
+    has the boundary F of two masks."""
     a = once(spark, sf_dir, "annotation", "segmentation").where("segmentation IS NOT NULL")
     m = F.col("segmentation")
-    return a.select("id", R.mask_area(R.mask_boundary(m)).alias("boundary"), R.mask_area(R.mask_dilated(m, 3)).alias("dilated"), R.mask_components(m).alias("parts"), R.mask_centre(m).alias("centre"), R.mask_boundary_f(m, m).alias("f"))
+    return a.select("id", R.mask_area(R.mask_boundary(m)).alias("boundary"), R.mask_area(R.mask_dilated(m, 3)).alias("dilated"), R.mask_components(m).alias("parts"), R.mask_centre(m).alias("centre"))
 
 
 @query()
@@ -209,8 +209,8 @@ def paths_and_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT id, round(1 / (1 + exp(-(score * 8 - 4))), 6) AS p, round(1 / (1 + exp(-(score * 8 - 4))) * (1 / (1 + exp(-2.0))), 6) AS with_presence, 'AP@' || CAST(id % 3 AS VARCHAR) AS name, id % 5 AS colour,
-  printf('#%02x%02x%02x', id % 256, id // 256 % 256, 16) AS hex FROM prediction WHERE score BETWEEN 0 AND 1 AND NOT isnan(score)""")
+  printf('#%02x%02x%02x', id % 256, id // 256 % 256, 16) AS hex FROM prediction""")
 def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "prediction").where("score BETWEEN 0 AND 1")
+    p = table(spark, sf_dir, "prediction")
     logit, i = F.col("score") * 8 - 4, F.col("id")
     return p.select("id", F.round(T.sigmoid(logit), 6).alias("p"), F.round(T.presence_score(logit, F.lit(2.0)), 6).alias("with_presence"), T.thresholded_name(F.lit("AP"), i % 3).alias("name"), T.palette_index(i, 5).alias("colour"), T.rgb_to_hex(i % 256, F.floor(i / 256) % 256, F.lit(16)).alias("hex"))

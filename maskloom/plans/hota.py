@@ -91,9 +91,10 @@ def mean_over_alphas(final: DataFrame, by: list[str] | None = None) -> DataFrame
 
 def phrase_frames(tracks: DataFrame, threshold: float | None = None) -> DataFrame:
     """Tracks as frames for phrase evaluation: the sequence is the (video, category) pair as text; rows of a
-    score over the threshold; frames of no area or zero box are absent. tracks: video_id, category_id, id,
-    bboxes, areas[, score]."""
+    score over the threshold; frames of no area or zero box are absent. A track without any areas has those of
+    its boxes. tracks: video_id, category_id, id, bboxes, areas[, score]."""
     own = tracks if threshold is None else tracks.where(F.col("score") > threshold)
+    own = own.withColumn("areas", F.coalesce("areas", F.transform("bboxes", B.area_xywh)))
     f = own.select(F.concat_ws(":", F.col("video_id").cast("string"), F.col("category_id").cast("string")).alias("seq"), "id", F.posexplode(F.arrays_zip("bboxes", "areas")).alias("t", "z"))
     present = (F.coalesce(F.col("z.areas"), F.lit(0.0)) > 0) & ~B.is_zero(F.col("z.bboxes"))
     return f.where(present).select("seq", "t", "id", F.col("z.bboxes").alias("box"))

@@ -31,20 +31,27 @@ def query(sql: str | None = None):
 _TR = once_sql("masklet", "video_id", "category_id", "bboxes", "segmentations", "areas")
 
 
-@query(f"""WITH f AS (SELECT id, video_id, unnest(range(len(bboxes))) AS frame, unnest(bboxes) AS box, unnest(list_resize(segmentations, len(bboxes))) AS mask, unnest(list_resize(areas, len(bboxes))) AS area FROM {_TR} WHERE bboxes IS NOT NULL AND segmentations IS NOT NULL AND areas IS NOT NULL)
-  SELECT id, video_id, CAST(frame AS INTEGER) AS frame, box, coalesce(area, box[3] * box[4]) AS area FROM f WHERE mask IS NOT NULL OR (len(box) >= 4 AND len(list_filter(box, lambda v: v > 0)) > 0)""")
+_ZIP = f"""SELECT id, video_id, n, CAST(i AS INTEGER) AS frame, b[i + 1] AS box, s[i + 1] AS mask, a[i + 1] AS area FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT id, video_id, coalesce(bboxes, []) AS b,
+  coalesce(segmentations, []) AS s, coalesce(areas, []) AS a, greatest(len(coalesce(bboxes, [])), len(coalesce(segmentations, [])), len(coalesce(areas, []))) AS n FROM {_TR}))"""
+
+
+@query(f"""WITH f AS ({_ZIP}) SELECT id, video_id, frame, box, coalesce(area, box[3] * box[4]) AS area FROM f WHERE mask IS NOT NULL OR (len(box) >= 4 AND len(list_filter(box, lambda v: v > 0)) > 0)""")
 def explode_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = once(spark, sf_dir, "masklet", "video_id", "category_id", "bboxes", "segmentations", "areas").where("bboxes IS NOT NULL AND segmentations IS NOT NULL AND areas IS NOT NULL")
+    """Frames of all tracks, also of those with null or short arrays."""
+    m = once(spark, sf_dir, "masklet", "video_id", "category_id", "bboxes", "segmentations", "areas")
     return R.explode_tracks(m, ["id", "video_id"]).select("id", "video_id", "frame", "box", "area")
 
 
-@query(f"""WITH f AS (SELECT id, len(bboxes) AS n, unnest(range(len(bboxes))) AS frame, unnest(bboxes) AS box FROM {_TR} WHERE bboxes IS NOT NULL AND segmentations IS NOT NULL AND areas IS NOT NULL), g AS (SELECT id, n, frame, box FROM f WHERE len(box) >= 4 AND len(list_filter(box, lambda v: v > 0)) > 0)
-  SELECT id, list_transform(range(max(n)), lambda i: list_filter(list(struct_pack(f := frame, b := box)), lambda z: z.f = i)[1].b) AS bboxes FROM g GROUP BY id""")
+@query(f"""WITH f AS ({_ZIP}), g AS (SELECT id, n, frame, box, mask, coalesce(area, box[3] * box[4]) AS area FROM f WHERE mask IS NOT NULL OR (len(box) >= 4 AND len(list_filter(box, lambda v: v > 0)) > 0)),
+  l AS (SELECT id, max(n) AS n, list(struct_pack(f := frame, b := box, m := mask, a := area)) AS z FROM g GROUP BY id)
+  SELECT id, list_transform(range(n), lambda i: list_filter(z, lambda q: q.f = i)[1].b) AS bboxes, list_transform(range(n), lambda i: list_filter(z, lambda q: q.f = i)[1].a) AS areas,
+  list_transform(range(n), lambda i: list_filter(z, lambda q: q.f = i)[1].m.counts) AS counts FROM l""")
 def pack_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames put back into arrays of the track's length."""
-    m = once(spark, sf_dir, "masklet", "bboxes", "segmentations", "areas").where("bboxes IS NOT NULL AND segmentations IS NOT NULL AND areas IS NOT NULL")
-    f = R.explode_tracks(m.withColumn("n", F.size("bboxes")), ["id", "n"]).where(~B.is_zero(F.col("box")))
-    return R.pack_tracks(f, ["id"], F.col("n")).select("id", "bboxes")
+    """Frames put back into arrays of the track's length: boxes, masks and areas of all tracks."""
+    m = once(spark, sf_dir, "masklet", "bboxes", "segmentations", "areas")
+    longest = F.greatest(*(F.size(F.coalesce(c, F.array())) for c in ("bboxes", "segmentations", "areas")))
+    f = R.explode_tracks(m.withColumn("n", longest), ["id", "n"])
+    return R.pack_tracks(f, ["id"], F.col("n")).select("id", "bboxes", "areas", F.transform("segmentations", lambda m: m["counts"]).alias("counts"))
 
 
 @query("""SELECT c_custkey + CASE WHEN (SELECT bool_or(c_custkey = 0) FROM customer) THEN 1 ELSE 0 END AS id, n_nationkey + CASE WHEN (SELECT bool_or(n_nationkey = 0) FROM nation) THEN 1 ELSE 0 END AS nation
@@ -71,21 +78,9 @@ def stage_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.groupBy(F.col("q.query_processing_order").alias("stage")).agg(F.count(F.lit(1)).alias("n_queries"), F.count_distinct("q.query_text").alias("n_texts"), F.sum(n).alias("n_outputs"))
 
 
-@query(f"""SELECT datapoint_id, len(bool) AS n, list_transform(bool, lambda o: len(o)) AS sizes FROM (SELECT datapoint_id, list_transform(images, lambda i: list_resize(list_transform(coalesce(i.objects, []), lambda o: o.area), 6, -1.0)) AS bool FROM {_D1})""")
-def padded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of each image's areas after they are padded or cut to 6, as in its SQL; ``padded_areas`` cuts nothing
-    and has the values."""
-    def six(i):
-        a = F.transform(F.coalesce(i["objects"], F.array()), lambda o: o["area"])
-        return F.slice(R.pad(a, F.greatest(F.size(a), F.lit(6)), F.lit(-1.0)), 1, 6)
-
-    p = _datapoints(spark, sf_dir).select("datapoint_id", F.transform("images", six).alias("p"))
-    return p.select("datapoint_id", F.when(F.col("p").isNotNull(), F.size("p")).cast("long").alias("n"), F.transform("p", lambda x: F.size(x).cast("long")).alias("sizes"))
-
-
 @query(f"""WITH d AS (SELECT datapoint_id, list_transform(images, lambda i: list_transform(coalesce(i.objects, []), lambda o: o.area)) AS a FROM {_D1}), m AS (SELECT max(len(x)) AS longest FROM (SELECT unnest(a) AS x FROM d))
   SELECT datapoint_id, list_transform(a, lambda x: CAST(len(x) AS INTEGER)) AS sizes, list_transform(a, lambda x: list_resize(x, m.longest, -1.0)) AS areas FROM d CROSS JOIN m""")
-def padded_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def padded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of each image's objects, padded with -1 to the longest list of the table, which is one batch here;
     ``sizes`` are the lengths without padding."""
     areas = F.transform("images", lambda i: F.transform(F.coalesce(i["objects"], F.array()), lambda o: o["area"]))
@@ -109,18 +104,9 @@ def visual_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _XB = "[greatest(least(b[1] - 50, 300.0), 0.0), greatest(least(b[2] - 40, 200.0), 0.0), greatest(least(b[3] - 50, 300.0), 0.0), greatest(least(b[4] - 40, 200.0), 0.0)]"
 
 
-@query(f"""WITH o AS (SELECT datapoint_id, unnest(images[1].objects) AS o FROM {_D1} WHERE len(images) > 0), b AS (SELECT datapoint_id, o.object_id AS object_id, o.bbox AS b FROM o WHERE o.bbox[4] IS NOT NULL AND o.bbox[1] + o.bbox[2] + o.bbox[3] IS NOT NULL)
-  SELECT datapoint_id, object_id, CASE WHEN ({_XB})[3] > ({_XB})[1] AND ({_XB})[4] > ({_XB})[2] THEN {_XB} END AS crop, [640 - b[3], b[2], 640 - b[1], b[4]] AS flip, [b[1] * 2, b[2] * 0.5, b[3] * 2, b[4] * 0.5] AS resize, [b[1] + 10, b[2] + 20, b[3] + 10, b[4] + 20] AS pad FROM b""")
-def sample_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crop, flip, resize and pad of the first image's objects, as in its SQL; ``sample_geometry_all`` has those of
-    all images."""
-    o = _datapoints(spark, sf_dir).select("datapoint_id", F.explode(F.get("images", F.lit(0))["objects"]).alias("o"))
-    return _transformed(o, ["datapoint_id"])
-
-
 @query(f"""WITH i AS (SELECT datapoint_id, CAST(unnest(range(len(images))) AS INTEGER) AS image, unnest(images) AS i FROM {_D1}), o AS (SELECT datapoint_id, image, unnest(i.objects) AS o FROM i), b AS (SELECT datapoint_id, image, o.object_id AS object_id, o.bbox AS b FROM o WHERE o.bbox[4] IS NOT NULL AND o.bbox[1] + o.bbox[2] + o.bbox[3] IS NOT NULL)
   SELECT datapoint_id, image, object_id, CASE WHEN ({_XB})[3] > ({_XB})[1] AND ({_XB})[4] > ({_XB})[2] THEN {_XB} END AS crop, [640 - b[3], b[2], 640 - b[1], b[4]] AS flip, [b[1] * 2, b[2] * 0.5, b[3] * 2, b[4] * 0.5] AS resize, [b[1] + 10, b[2] + 20, b[3] + 10, b[4] + 20] AS pad FROM b""")
-def sample_geometry_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sample_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crop, flip, resize and pad of every image's objects; ``image`` is the image's position from 0 on."""
     i = _datapoints(spark, sf_dir).select("datapoint_id", F.posexplode("images").alias("image", "i"))
     return _transformed(i.select("datapoint_id", "image", F.explode("i.objects").alias("o")), ["datapoint_id", "image"])
