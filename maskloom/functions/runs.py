@@ -281,8 +281,8 @@ def drop_sprinkles(mask: np.ndarray, most: int) -> np.ndarray:
 
 
 def distance(mask: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distance of each foreground pixel to the background (the lower envelope of
-    parabolas, columns first)."""
+    """Exact Euclidean distance of each foreground pixel to the background: squared distances down the columns, then
+    the least over columns ever farther away, which ends at the greatest distance there is."""
     h, w = mask.shape
     far = float(h * h + w * w + 1)
     g = np.where(mask, far, 0.0)
@@ -290,10 +290,11 @@ def distance(mask: np.ndarray) -> np.ndarray:
         g[k] = np.where(mask[k], np.minimum(g[k], (np.sqrt(g[k - 1]) + 1) ** 2), 0)
     for k in range(h - 2, -1, -1):
         g[k] = np.where(mask[k], np.minimum(g[k], (np.sqrt(g[k + 1]) + 1) ** 2), 0)
-    cols = np.arange(w, dtype=float)
-    out = np.empty((h, w))
-    for r in range(h):
-        out[r] = (g[r][None, :] + (cols[:, None] - cols[None, :]) ** 2).min(1)
+    out, step = g.copy(), 1
+    while step < w and step * step < out.max(initial=0):
+        np.minimum(out[:, step:], g[:, :-step] + step * step, out=out[:, step:])
+        np.minimum(out[:, :-step], g[:, step:] + step * step, out=out[:, :-step])
+        step += 1
     return np.sqrt(np.minimum(out, far))
 
 
