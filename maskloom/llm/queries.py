@@ -104,7 +104,8 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.oversized(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
+    """Documents of which more than one piece comes out."""
+    return p9_pieces(spark, sf_dir).where("piece_no = 1").select("doc_id")
 
 
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

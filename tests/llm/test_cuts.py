@@ -11,8 +11,8 @@ def levels(n, **at):
 
 
 def test_boundary_in_the_first_half():
-    whole = np.ones(1001, bool)
-    cut = lambda level_at: splitting.cuts(1000, level_at, whole, 512, 32, False, 5)
+    whole = np.full(1000, splitting.ALIGNED, np.uint8)
+    cut = lambda level_at: splitting.cuts(level_at[:1000].astype(np.uint8) | whole, 512, 32)
     assert cut(levels(1000, _100=1, _150=2, _200=2, _210=1))[0] == (0, 200, 2)
     assert cut(levels(1000, _200=4, _300=1))[0] == (0, 300, 1)  # the later half goes first
     assert cut(levels(1000))[0] == (0, 512, 0)

@@ -151,13 +151,45 @@ def test_pieces(spark, range_bytes):
     assert splitting.pieces(df.limit(0), 64, 8).count() == 0
 
 
+@pytest.mark.parametrize("most,shared", [(64, 8), (512, 32)])
+def test_pieces_do_not_depend_on_the_ranges(spark, most, shared, tmp_path):
+    rng = np.random.default_rng(4)
+    words = ["dog", "茶壶。", "“Ünd.” ", "a", "\n", "\n\n", " ", "  ", "é" * 9, "12", "x" * 300, "Привет. ", "镜子，", "👍", ".) ", "!\n"]
+    texts = ["".join(rng.choice(words, 9000)) + "y" * 2000 + "".join(rng.choice(words, 3000)), "word and " * 4000, "x" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    want = {tuple(r) for r in splitting.pieces(df, most, shared, 1 << 20).collect()}
+    for i, t in enumerate(texts):
+        check_pieces(t, [splitting_row(r) for r in want if r[0] == i], most, shared)
+        (tmp_path / str(i)).write_text(t, newline="")
+    files = spark.createDataFrame([(i, str(tmp_path / str(i))) for i in range(len(texts))], "doc_id BIGINT, path STRING")
+    for size in (1 << 10, 1 << 12, 1 << 15):
+        assert {tuple(r) for r in splitting.pieces(df, most, shared, size).collect()} == want
+        assert {tuple(r) for r in splitting.file_pieces(files, most, shared, size).collect()} == want
+
+
+def splitting_row(values):
+    from pyspark.sql import Row
+
+    return Row(*splitting.PIECE.names)(*values)
+
+
+def test_files_that_are_no_text(spark, tmp_path):
+    raw = b"ab \xff\xfe cd. " * 3000
+    (tmp_path / "bad").write_bytes(raw)
+    (tmp_path / "none").write_bytes(b"")
+    files = spark.createDataFrame([(1, str(tmp_path / "bad")), (2, str(tmp_path / "none"))], "doc_id BIGINT, path STRING")
+    own = splitting.file_pieces(files, 64, 8, 4096).collect()
+    assert {p.doc_id for p in own} == {1}
+    check_pieces(raw.decode("utf-8", "replace"), own, 64, 8)
+
+
 def test_parting_bytes_is_a_token_start():
     text = "ab cd. ef\n\ngh 第28帧：镜子。x"
     raw = text.encode()
     for a in range(len(raw)):
         found = splitting.parting(raw[a:])
         if found is not None:
-            at = found[0]
+            at = found
             left, right = raw[: a + at].decode(), raw[a + at :].decode()
             assert list(OWN.encode([left]))[0] + list(OWN.encode([right]))[0] == list(OWN.encode([text]))[0]
 
