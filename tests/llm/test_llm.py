@@ -256,12 +256,35 @@ def test_top_n_with_ties_and_hot_group(spark):
     rng = np.random.default_rng(8)
     rows = [(int(g), i, float(rng.choice([0.0, -0.0, 0.5, 0.5, 1.0, rng.random()])), "x") for i, g in enumerate(rng.choice([1, 1, 1, *range(2, 60)], 3000))]
     rows += rows[:200] + [(1, 9001, None, "x"), (1, 9002, float("nan"), "x"), (None, 9003, 1.0, "x"), (70, None, 1.0, "x"), (71, 9004, float("-inf"), "x"), (72, 9005, float("inf"), "x")]
-    got = defaultdict(list)
-    for r in topn.top_n(spark.createDataFrame(rows, "`group` BIGINT, id BIGINT, score DOUBLE, have STRING"), 5, (0.95, 0.7, 0.3)).orderBy("group", "rank").collect():
+    df = spark.createDataFrame(rows, "`group` BIGINT, id BIGINT, score DOUBLE, have STRING").repartition(3)
+    got, other = defaultdict(list), defaultdict(list)
+    for r in topn.top_n(df, 5, (0.95, 0.7, 0.3)).orderBy("group", "rank").collect():
         got[r.group].append((r.id, r.rank))
+    for r in topn.top_n(df, 5, (0.95, 0.7, 0.3), broadcast_groups=0).orderBy("group", "rank").collect():
+        other[r.group].append((r.id, r.rank))
+    assert got == other
     want = {}
     for g in {r[0] for r in rows if r[0] is not None and r[0] != 70}:
         own = sorted({(-r[2], r[1]) for r in rows if r[0] == g and r[2] is not None and r[2] == r[2]})
         want[g] = [(i, k + 1) for k, (_, i) in enumerate(own[:5])]
     assert got == want
     assert topn.top_n(spark.createDataFrame([], "`group` BIGINT, id BIGINT, score DOUBLE")).count() == 0
+
+
+def test_top_n_of_copies_with_other_scores(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(i), float(s)) for g, i, s in zip(rng.integers(0, 4, 4000), rng.integers(0, 12, 4000), rng.integers(0, 40, 4000), strict=True)]
+    rows += [(9, 1, 50.0)] * 3000 + [(9, i, 1.0) for i in range(2, 9)]
+    best = {}
+    for g, i, s in rows:
+        best[g, i] = max(s, best.get((g, i), s))
+    want = {(g, i) for g in (0, 1, 2, 3, 9) for i in [i for _, i in sorted((-s, i) for (h, i), s in best.items() if h == g)][:5]}
+    got = topn.top_n(spark.createDataFrame(rows, "`group` BIGINT, id BIGINT, score DOUBLE").repartition(4)).collect()
+    assert len(got) == 25 and {(r.group, r.id) for r in got} == want
+    assert all(best[r.group, r.id] == r.score for r in got)
+
+
+def test_top_n_limits_before_every_shuffle_by_group(spark):
+    plan = topn._first(spark.range(9).selectExpr("id % 2 AS `group`", "id", "CAST(id AS DOUBLE) AS score"), 5)._jdf.queryExecution().executedPlan().toString()
+    at = plan.index("Exchange hashpartitioning(group")
+    assert "Partial" in plan[at:] and "WindowGroupLimit" in plan[at:]
