@@ -219,6 +219,20 @@ def test_sample_is_uniform(spark):
     assert len(ids) == 2000 and np.all(np.abs(np.histogram(ids, 10, (0, 20_000))[0] - 200) < 70)
 
 
+def test_small_reservoirs_give_the_same_sample(spark):
+    rows = spark.range(30_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 1 WHEN id % 1000 = 1 THEN 2 WHEN id < 20000 THEN 3 END AS stratum")
+    targets = spark.createDataFrame([(1, 100, 0), (2, 10, 40), (3, 800, 5), (4, 90, 1)], "stratum BIGINT, share_permille INT, min_rows INT")
+    wide = sampling.StratifiedSample(rows, targets, margin=1e9)
+    want = {tuple(r) for r in wide.sample.collect()}
+    assert wide.passes == 1 and wide.fragments.count() == rows.where("stratum IS NOT NULL").count()
+    for margin, parts, held in ((5.0, 4, 1 << 20), (5.0, 4, 500), (0.0, 9, 300)):
+        own = sampling.StratifiedSample(rows.repartition(parts), targets, margin=margin, held=held)
+        assert {tuple(r) for r in own.sample.collect()} == want
+        assert {(r.stratum, r.quota, r.available) for r in own.report.collect()} == {(r.stratum, r.quota, r.available) for r in wide.report.collect()}
+        assert margin == 0 or (own.passes == 1 and own.fragments.where("stratum = 1").count() < 1500)
+    assert own.passes > 1  # without a margin some task has too few: the pass is made again
+
+
 # Terms
 
 
