@@ -18,13 +18,15 @@ import math
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from maskloom.operators.grouped import spread
 from maskloom.shared import materialize
 
-CHUNK_ROWS = 100_000  #: rows packed together by one task
+CHUNK_TOKENS = 1 << 20  #: tokens packed together by one task
+CHUNK_ROWS = 100_000  #: rows packed together by one task, if they are short
 FAN = 64  #: chunks whose rests are packed together in the next round
 CARRIED = 16  #: containers a chunk hands on at most
 FULL = 0.995  #: containers this full are closed at once
@@ -139,7 +141,7 @@ def _packer(capacity: int, round_no: int, last: bool) -> Callable[[tuple, pa.Tab
     return run
 
 
-def pack(items: DataFrame, capacity: int, targets: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def pack(items: DataFrame, capacity: int, targets: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """The container of each text or piece: doc_id, piece_no, start_token, n_tokens, source, container_id.
 
     ``items`` has doc_id, source and n_tokens; ``targets`` (source, share) are the wanted token proportions,
@@ -150,13 +152,13 @@ def pack(items: DataFrame, capacity: int, targets: DataFrame | None = None, chun
     gives no rows. The result depends on the rows' order in storage only in which chunk a row falls.
     """
     sized = materialize(items.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")).alias("n_tokens")), "sized")
-    n_rows = sized.count()
+    size = sized.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens")).first()
     if targets is None:
         per_source = sized.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("share"))
     else:
         per_source = targets.select(F.col("source").cast("string"), F.col("share").cast("double"))
     per_source = per_source.withColumnsRenamed({"source": "_source"})
-    n_chunks = max(1, math.ceil(n_rows / chunk_rows))
+    n_chunks = max(1, math.ceil(size["rows"] / chunk_rows), math.ceil((size["tokens"] or 0) / chunk_tokens))
     chunk = F.pmod(F.xxhash64("doc_id", "source", F.monotonically_increasing_id()), F.lit(n_chunks)).cast("long")
     same = F.col("source").eqNullSafe(F.col("_source"))
     if per_source.count() <= BROADCAST_SOURCES:
@@ -191,6 +193,36 @@ def fill_report(placed: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def mixture(placed: DataFrame, column: Column | None = None) -> DataFrame:
-    """Tokens of each source in each container."""
-    return placed.groupBy("container_id", "source").agg(F.sum("n_tokens").alias("n_tokens"))
+def mixture(placed: DataFrame, targets: DataFrame) -> DataFrame:
+    """Tokens of each source in each container that has any of it, against the source's target: container_id, source,
+    n_tokens, share (of the container's tokens), target (share of all targets, 0 without one). ``targets`` as in ``pack``."""
+    wanted = targets.groupBy(F.col("source").cast("string").alias("_source")).agg(F.max("share").cast("double").alias("_t"))
+    every = wanted.agg(F.sum("_t")).first()[0] or 1.0
+    per = placed.groupBy("container_id", "source").agg(F.sum("n_tokens").alias("n_tokens"))
+    used = F.sum("n_tokens").over(Window.partitionBy("container_id"))  # a row a source
+    per = per.withColumn("share", F.col("n_tokens") / used).where("n_tokens > 0")
+    joined = per.join(wanted, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return joined.select("container_id", "source", "n_tokens", "share", (F.coalesce("_t", F.lit(0.0)) / every).alias("target"))
+
+
+def deviation(mixed: DataFrame) -> DataFrame:
+    """Per source: target, n_tokens, share of all tokens, n_containers that have it, and the mean distance of a
+    container's share from the target over all containers."""
+    mixed = materialize(mixed, "mixture")
+    n, tokens = mixed.agg(F.count_distinct("container_id"), F.sum("n_tokens")).first()
+    per = mixed.groupBy("source").agg(F.max("target").alias("target"), F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_containers"), F.sum(F.abs(F.col("share") - F.col("target"))).alias("away"))
+    away = (F.col("away") + (F.lit(n) - F.col("n_containers")) * F.col("target")) / F.lit(n or 1)
+    return per.select("source", "target", "n_tokens", (F.col("n_tokens") / F.lit(tokens or 1)).alias("share"), "n_containers", away.alias("mean_away"))
+
+
+def shortfalls(items: DataFrame, placed: DataFrame, capacity: int) -> DataFrame:
+    """What is wrong with a placing, a row of (kind, n), all but ``items`` 0 if it is whole: ``missing`` items whose pieces don't
+    make up their tokens in order, ``divided`` without need, containers ``over`` capacity. doc_ids must be unique."""
+    own = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_token", "n_tokens"))).alias("p"))
+    both = items.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("size")).join(own, "doc_id", "full")
+    end = F.aggregate("p", F.lit(0).cast("long"), lambda at, x: F.when(x["start_token"] == at, at + x["n_tokens"]).otherwise(-1))
+    whole = F.coalesce(end == F.col("size"), F.lit(False))
+    need = F.greatest(F.lit(1), F.ceil(F.col("size") / capacity))
+    rows = both.agg(F.count(F.lit(1)).alias("items"), F.count_if(~whole).alias("missing"), F.count_if(F.size("p") > need).alias("divided"))
+    over = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("u")).agg(F.count_if(F.col("u") > capacity).alias("over"))
+    return rows.unpivot([], ["items", "missing", "divided"], "kind", "n").unionByName(over.unpivot([], ["over"], "kind", "n"))

@@ -144,14 +144,12 @@ def token_spans(ids: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("array<struct<first: int, last: int>>")
     def spans(values: pa.Array) -> pa.Array:
-        own = tokenizer(at)
-        out = []
-        for v in values.to_pylist():
-            if v is None:
-                out.append(None)
-                continue
-            out.append([{"first": int(a), "last": int(b)} for a, b in zip(*own.spans(v), strict=True)] if v else [])
-        return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+        own, rows = tokenizer(at), values.to_pylist()
+        pairs = [own.spans(v) if v else (np.zeros(0, np.int64),) * 2 for v in rows]
+        offsets = np.concatenate([[0], np.cumsum([len(a) for a, _ in pairs])]).astype(np.int32)
+        flat = [np.concatenate([p[k] for p in pairs]).astype(np.int32) if pairs else np.zeros(0, np.int32) for k in (0, 1)]
+        cells = pa.StructArray.from_arrays([pa.array(f) for f in flat], names=["first", "last"])
+        return pa.ListArray.from_arrays(pa.array(offsets), cells, mask=pa.array([v is None for v in rows], pa.bool_()))
 
     return spans(ids)
 

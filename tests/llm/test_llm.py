@@ -110,6 +110,27 @@ def test_mixture_follows_targets(spark):
     assert sum(per[c, "a"] for c in first) == pytest.approx(3 * sum(per[c, "b"] for c in first), rel=0.1)
 
 
+def test_mixture_is_carried_over_many_chunks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "abc"[i % 3], int(rng.integers(1, 9)), "x") for i in range(6000)]
+    targets = spark.createDataFrame([("a", 2.0), ("b", 1.0), ("c", 1.0), ("d", 4.0)], "source STRING, share DOUBLE")
+    placed = packing.pack(spark.createDataFrame(rows, "doc_id BIGINT, source STRING, n_tokens INT, x STRING"), 200, targets, chunk_tokens=1500)
+    assert packing.pack(spark.createDataFrame(rows, "doc_id BIGINT, source STRING, n_tokens INT, x STRING"), 200, chunk_tokens=1500).select("container_id").distinct().count() <= sum(r[2] for r in rows) / 200 * 1.01 + 1
+    mixed = packing.mixture(placed, targets).collect()
+    assert {r.source: r.target for r in mixed} == {"a": 0.25, "b": 0.125, "c": 0.125}
+    per = defaultdict(dict)
+    for r in mixed:
+        per[r.container_id][r.source] = r.share
+    filled = [p for p in per.values() if p.get("a", 0) > 0 and p.get("b", 0) > 0 and p.get("c", 0) > 0]
+    assert len(filled) > 50  # d has no items: its part goes to the others
+    assert np.median([p["a"] for p in filled]) == pytest.approx(0.5, abs=0.05) and np.median([p["b"] for p in filled]) == pytest.approx(0.25, abs=0.05)
+    report = {r.source: r for r in packing.deviation(packing.mixture(placed, targets)).collect()}
+    assert sum(r.n_tokens for r in report.values()) == sum(r[2] for r in rows) and sum(r.share for r in report.values()) == pytest.approx(1)
+    lost = placed.where("doc_id <> 7")
+    items = spark.createDataFrame(rows, "doc_id BIGINT, source STRING, n_tokens INT, x STRING")
+    assert {r.kind: r.n for r in packing.shortfalls(items, lost, 200).collect()} == {"items": 6000, "missing": 1, "divided": 0, "over": 0}
+
+
 def test_packing_edges(spark):
     rows = [(1, None, None, "x"), (2, "a", 0, "x"), (2, "a", 0, "x"), (3, "a", 50, "x"), (4, "b", 51, "x"), (5, "b", 1000, "x"), (None, "b", 3, "x")]
     out, used, pieces = pack(spark, rows)
@@ -263,6 +284,25 @@ def test_signed_deltas(spark):
     assert terms.TermCounts(spark).counts().count() == 0
 
 
+def test_order_of_deliveries_does_not_matter(spark):
+    rng = np.random.default_rng(6)
+    schema = "id BIGINT, texts ARRAY<STRING>, deleted BOOLEAN, delivered_at TIMESTAMP"
+    words = ["dog", "cat", "red dog", "old", None]
+    rows = [(int(rng.integers(0, 9)), [words[int(rng.integers(0, 5))]], bool(rng.random() < 0.2), T(int(d)) if d else None) for d in rng.integers(0, 28, 90)]
+    rows += [(1, ["new text"], False, T(30)), (1, ["old"], False, T(2)), (2, None, True, T(30)), (2, ["dog"], False, T(29))]
+    once = terms.TermCounts(spark)
+    once.apply(spark.createDataFrame(rows, schema))
+    want = {r.term: (r.n_occurrences, r.n_records) for r in once.counts().collect()}
+    assert "new" in want
+    parts = terms.TermCounts(spark, buckets=4)
+    order = rng.permutation(len(rows))
+    for k in range(0, len(rows), 10):
+        parts.apply(spark.createDataFrame([rows[i] for i in order[k : k + 10]], schema))
+    assert len(parts.log) < 10 and parts.buckets == 4
+    parts = terms.TermCounts(spark, parts.folder)
+    assert {r.term: (r.n_occurrences, r.n_records) for r in parts.counts().collect()} == want and parts.n_records() == once.n_records()
+
+
 # Best items
 
 
