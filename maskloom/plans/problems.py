@@ -66,7 +66,12 @@ def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.nested_tables(table(spark, sf_dir, "raw_document"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p4_tables": p4_tables}
+def p4_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies without a document, with the reason."""
+    return shred.broken_bodies(table(spark, sf_dir, "raw_document"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p4_tables": p4_tables, "p4_broken": p4_broken}
 
 
 def _orphan_sql() -> str:
@@ -88,6 +93,7 @@ def _keyed_sql() -> str:
 
 
 SQL = {
+    "p4_broken": r"SELECT record_id, reason FROM (SELECT record_id, CASE WHEN body IS NULL THEN 'null' WHEN trim(body, E' \t\n\r') = '' THEN 'empty' WHEN NOT json_valid(body) THEN 'broken' END AS reason FROM raw_document) WHERE reason IS NOT NULL",
     "p1_found": f"{_orphan_sql()} SELECT DISTINCT table_name, row_id, field_name, reason FROM found WHERE reason IS NOT NULL",
     "p1_report": f"{_orphan_sql()} SELECT table_name, field_name, strftime(seen_at, '%Y-%m') AS month, reason, count(*) AS n_orphans FROM found WHERE reason IS NOT NULL GROUP BY ALL",
     "p2_found": f"{_keyed_sql()} SELECT table_name, category_id FROM (SELECT table_name, category_id, count(*) AS n FROM k GROUP BY table_name, category_id) JOIN (SELECT table_name, count(*) AS n_all FROM k GROUP BY table_name) USING (table_name) WHERE category_id IS NOT NULL AND n * 100 >= 3 * n_all",

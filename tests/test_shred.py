@@ -68,10 +68,9 @@ def test_broken_bodies():
 
 def test_levels_are_those_of_the_definition():
     root = S.shred(['{"videos": [{"id": 1, "segmentations": [null, {"a": 2}]}, {"segmentations": []}]}', "{}"], S.LISTS)
-    leaves = {n.leaf.path: n.leaf for n in S.walk(root) if n.leaf}
-    a = leaves["$.videos[].segmentations[].a"]
-    assert (a.rep, a.dfn, a.values) == ([0, 2, 1, 0], [4, 6, 3, 0], [None, 2, None, None])
-    t = S.assemble(root)["$.videos[].segmentations[]"]
+    a = {n.path: c for n, c in S.levels(root, 2).items()}["$.videos[].segmentations[].a"]
+    assert (a.rep.tolist(), a.dfn.tolist(), a.values) == ([0, 2, 1, 0], [4, 6, 3, 0], [None, 2, None, None])
+    t = {n.path: t for n, t in S.assemble(root).items()}["$.videos[].segmentations[]"]
     assert np.array_equal(t.parent_row, [0, 0]) and np.array_equal(t.position, [0, 1]) and np.array_equal(t.is_null, [True, False])
 
 
@@ -84,3 +83,42 @@ def test_frames(spark):
     assert tables["segmentations", 0].is_null and not tables["segmentations", 1].is_null
     assert S.level_columns(df.coalesce(1)).where("path = '$.videos[].id'").count() == 3
     assert S.nested_links(df.limit(0)).count() == 0
+
+
+def test_bodies_nested_deeply(spark):
+    deep = 40_000
+    inner = '{"videos": [{"id": 1, "annotations": {"id": 2}}]}'
+    bodies = ["[" * deep + inner + "]" * deep, '{"a":' * deep + inner + "}" * deep, '{"videos": [' * deep + inner + "]}" * deep, '{"x": ' + "[" * deep + "]" * deep + ', "videos": {"id": 1}}', "[" * deep]
+    links = set(S.dataset_links(bodies))
+    for k in range(3):
+        assert {(k, "video", None, 1), (k, "annotation", 1, 2)} <= links
+    assert (3, "video", None, 1) in links and not any(i == 4 for i, *_ in links)
+    df = spark.createDataFrame(list(enumerate([*bodies[1:2], *bodies[3:], None, " ", "{}"])), "record_id BIGINT, body STRING")
+    assert {tuple(r) for r in S.broken_bodies(df).collect()} == {(2, "broken"), (3, "null"), (4, "empty")}
+    assert S.nested_links(df).count() == 3 and S.nested_tables(df).where("list_name = 'videos'").count() == 2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False), st.text(max_size=5)), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.text(max_size=3), x, max_size=3)), max_leaves=12), st.integers(0, 200), st.sampled_from(["", "]", "}", ",", '"', "1", " "]))
+def test_the_parser_without_recursion(value, cut, more):
+    text = json.dumps(value)
+    assert S.parsed(text) == value and S.parsed(f" {text}\n") == value
+    for broken in (text[:cut] + more + text[cut:], text[: max(0, len(text) - cut % 7)]):
+        try:
+            want = json.loads(broken)
+        except ValueError:
+            want = ValueError
+        try:
+            got = S.parsed(broken)
+        except ValueError:
+            got = ValueError
+        assert got == want
+
+
+def test_work_follows_the_bodies_not_the_paths():
+    """Names of fields that are data: entries are as many as values, whatever the number of paths."""
+    bodies = [json.dumps({f"k{i}_{j}": {"videos": [{"id": i * 50 + j, "x": 1}]} for j in range(50)}) for i in range(400)]
+    root = S.shred(bodies, S.LISTS)
+    assert sum(len(n.column.rep) for n in S.walk(root)) <= 400 + 400 * 50 * 5
+    assert sum(len(t.record) for t in S.assemble(root).values()) == 20_000
+    assert len(set(S.dataset_links(bodies))) == 20_000
