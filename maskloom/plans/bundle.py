@@ -11,7 +11,8 @@ from maskloom.operators import suppress as S
 from maskloom.operators import tracks as K
 from maskloom.operators.results import dangling_frames, frame_images, frame_tables
 from maskloom.plans import ap, cgf1, hota, teta
-from maskloom.plans.evaluating import _FRB, image_units, track_sets
+from maskloom.plans import metric_sql as SQ
+from maskloom.plans.evaluating import _FRB, _TRACKS, IMAGE_UNITS_SQL, image_units, track_sets
 from maskloom.plans.views import once, once_sql, overlap_sql
 from maskloom.shared import materialize, scratch, table
 from maskloom.streaming.accumulate import Accumulator
@@ -53,7 +54,32 @@ def _video(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return units, truth, dets, pairs.join(dets.select("seq", "det", "score"), ["seq", "det"]).withColumn("crowd", F.lit(False))
 
 
-@query()
+# Pairs of tracks, units and counts of (video, category) pairs in SQL
+_VIDEO = f"""{_TRACKS}, area AS (SELECT seq, id, sum(greatest(box[3] * box[4], 0)) AS a FROM g GROUP BY ALL), arear AS (SELECT seq, id, sum(greatest(box[3] * box[4], 0)) AS a FROM r GROUP BY ALL),
+  meet AS (SELECT g.seq, g.id AS gt, r.id AS det, sum({overlap_sql('r.box', 'g.box')}) AS i FROM g JOIN r ON g.seq = r.seq AND g.t = r.t GROUP BY ALL),
+  vp AS (SELECT m.seq, gt, det, i / (x.a + y.a - i) AS iou, (det * 7919 % 1000) / 1000.0 AS score FROM meet m JOIN area x ON x.seq = m.seq AND x.id = gt JOIN arear y ON y.seq = m.seq AND y.id = det WHERE i > 0),
+  vt AS (SELECT seq, id AS gt, FALSE AS crowd, avg(box[3] * box[4]) AS area FROM g GROUP BY ALL), vd AS (SELECT seq, id AS det, (id * 7919 % 1000) / 1000.0 AS score, avg(box[3] * box[4]) AS area FROM r GROUP BY ALL),
+  vu AS (SELECT DISTINCT CAST(video_id AS VARCHAR) || ':' || CAST(category_id AS VARCHAR) AS seq FROM {once_sql('video_np_pair', 'video_id', 'category_id')} WHERE video_id IS NOT NULL AND category_id IS NOT NULL UNION SELECT seq FROM g)"""
+_VIDEO_UNITS = f"""{SQ.matched("SELECT seq, gt AS l, det AS r, iou AS w FROM vp WHERE score >= 0.5", ["seq"])}, units AS (SELECT vu.seq, coalesce(a.n, 0) AS n_gt, coalesce(b.n, 0) AS n_dt, ws FROM vu
+  LEFT JOIN (SELECT seq, count(*) AS n FROM vt GROUP BY 1) a USING (seq) LEFT JOIN (SELECT seq, count(*) AS n FROM vd WHERE score >= 0.5 GROUP BY 1) b USING (seq) LEFT JOIN (SELECT seq, list(w) AS ws FROM matched GROUP BY 1) m USING (seq))"""
+
+
+def _video_ap_sql(category: str) -> str:
+    own = f"t AS (SELECT seq, {category} AS category, gt, crowd, area FROM vt), d AS (SELECT seq, {category} AS category, det, score, area FROM vd), p AS (SELECT seq, {category} AS category, det, gt, iou FROM vp)"
+    # the names t, d and p are taken only here
+    return f"""WITH RECURSIVE {_VIDEO}, {own}, {SQ.ap("seq", "('all', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 100)")}, mean AS (SELECT avg(ap) AS ap, avg(ap) FILTER (WHERE thr_idx = 0) AS ap50, avg(ap) FILTER (WHERE thr_idx = 5) AS ap75, avg(recall) AS ar FROM final)
+      SELECT unnest(['AP', 'AP_50', 'AP_75', 'AR']) AS metric, unnest([coalesce(ap, -1), coalesce(ap50, -1), coalesce(ap75, -1), coalesce(ar, -1)]) AS value FROM mean"""
+
+
+@query(f"""WITH RECURSIVE {_VIDEO}, {_VIDEO_UNITS} SELECT seq, n_gt, n_dt, len(list_filter(coalesce(ws, []), lambda w: w >= 0.5)) AS tp, n_dt - len(list_filter(coalesce(ws, []), lambda w: w >= 0.5)) AS fp, n_gt - len(list_filter(coalesce(ws, []), lambda w: w >= 0.5)) AS fn FROM units""")
+def video_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters at IoU 0.5 of each (video, category) pair."""
+    u = cgf1.per_unit(*_video(spark, sf_dir), ["seq"])
+    tp = F.col("tp")[0]
+    return u.select("seq", "n_gt", "n_dt", tp.alias("tp"), (F.col("n_dt") - tp).alias("fp"), (F.col("n_gt") - tp).alias("fn"))
+
+
+@query(f"WITH RECURSIVE {_VIDEO}, {_VIDEO_UNITS}, {SQ.cgf1()} SELECT metric, threshold, value FROM final")
 def cgf1_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 with correlation of (video, category) pairs over track IoU."""
     units, truth, dets, pairs = _video(spark, sf_dir)
@@ -67,13 +93,13 @@ def _phrase_ap(spark: SparkSession, sf_dir: str, with_categories: bool) -> DataF
     return ap.average_precision(own(truth), own(dets), own(pairs.select("seq", "det", "gt", "iou")), "seq")
 
 
-@query()
+@query(_video_ap_sql("0"))
 def ap_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AP of tracks, all phrases as one class."""
     return ap.summary(_phrase_ap(spark, sf_dir, False))
 
 
-@query()
+@query(_video_ap_sql("CAST(split_part(seq, ':', 2) AS BIGINT)"))
 def ap_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean AP of tracks over the categories."""
     return ap.summary(_phrase_ap(spark, sf_dir, True))
@@ -112,7 +138,8 @@ def masks_without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.resolved(f, ["video_id", "frame"]).select("video_id", "frame", "id", R.mask_area(F.col("mask")).alias("area"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {IMAGE_UNITS_SQL}, units AS (SELECT u.*, i.rarity FROM units0 u JOIN {once_sql('image', 'rarity')} i ON i.id = u.image_id WHERE rarity BETWEEN 0 AND 3), {SQ.cgf1("rarity")},
+  own AS (SELECT * FROM final WHERE metric = 'cgF1') SELECT rarity, metric, threshold, value FROM own UNION ALL SELECT NULL, metric, threshold, avg(value) FROM own GROUP BY metric, threshold""")
 def cgf1_by_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metric per rarity and, as ``rarity`` null, its unweighted mean over them."""
     i = once(spark, sf_dir, "image", "rarity").select(F.col("id").alias("image_id"), "rarity").where("rarity BETWEEN 0 AND 3")
