@@ -27,14 +27,14 @@ def similarities(truth: DataFrame, tracker: DataFrame) -> DataFrame:
     return overlapping(g, r, ["seq", "t"], "gb", "rb", "sim").select("seq", "t", "gt", "tr", "sim")
 
 
-def alignment(truth: DataFrame, tracker: DataFrame, sims: DataFrame) -> DataFrame:
-    """seq, gt, tr, align: potential matches of two tracks over all frames, by the frames either has."""
-    rows, columns = Window.partitionBy("seq", "t", "gt"), Window.partitionBy("seq", "t", "tr")
+def alignment(truth: DataFrame, tracker: DataFrame, sims: DataFrame, keys: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """keys, gt, tr, align: potential matches of two tracks over all frames, by the frames either has."""
+    rows, columns = Window.partitionBy(*keys, "t", "gt"), Window.partitionBy(*keys, "t", "tr")
     share = sims.withColumn("u", F.sum("sim").over(rows) + F.sum("sim").over(columns) - F.col("sim"))
-    potential = share.groupBy("seq", "gt", "tr").agg(F.sum(F.when(F.col("u") > EPS, F.col("sim") / F.col("u")).otherwise(0.0)).alias("p"))
-    n_gt = truth.groupBy("seq", F.col("id").alias("gt")).agg(F.count(F.lit(1)).alias("n_gt"))
-    n_tr = tracker.groupBy("seq", F.col("id").alias("tr")).agg(F.count(F.lit(1)).alias("n_tr"))
-    j = potential.join(n_gt, ["seq", "gt"]).join(n_tr, ["seq", "tr"])
+    potential = share.groupBy(*keys, "gt", "tr").agg(F.sum(F.when(F.col("u") > EPS, F.col("sim") / F.col("u")).otherwise(0.0)).alias("p"))
+    n_gt = truth.groupBy(*keys, F.col("id").alias("gt")).agg(F.count(F.lit(1)).alias("n_gt"))
+    n_tr = tracker.groupBy(*keys, F.col("id").alias("tr")).agg(F.count(F.lit(1)).alias("n_tr"))
+    j = potential.join(n_gt, [*keys, "gt"]).join(n_tr, [*keys, "tr"])
     return j.withColumn("align", F.col("p") / (F.col("n_gt") + F.col("n_tr") - F.col("p")))
 
 

@@ -3,15 +3,17 @@ group, and detections taken one by one."""
 
 from __future__ import annotations
 
+import re
+
 THRESHOLD = "(CAST(0.5 AS DOUBLE) + CAST(0.05 AS DOUBLE) * {i})"
 
 
-def matched(pairs: str, keys: list[str], extra: str = "w") -> str:
-    """CTEs that end in ``matched(keys, l, r, w, x)``: the assignment of greatest total weight, by trying all. ``pairs``: keys, l, r,
+def matched(pairs: str, keys: list[str], extra: str = "w", suffix: str = "") -> str:
+    """CTEs that end in ``matched(keys, l, r, w, x)``, their names with ``suffix``: the assignment of greatest total weight, by trying all. ``pairs``: keys, l, r,
     w > 0 and what ``x`` is. An item needs its n best partners only, where n items compete."""
     k = ", ".join(keys)
     same = " AND ".join(f"s.{c} IS NOT DISTINCT FROM c.{c}" for c in keys)
-    return f"""pairs0 AS ({pairs}), pairs1 AS (SELECT {k}, l, r, w, {extra} AS x, dense_rank() OVER (PARTITION BY {k} ORDER BY l) AS li, row_number() OVER (PARTITION BY {k}, l ORDER BY w DESC, r) AS k FROM pairs0),
+    text = f"""pairs0 AS ({pairs}), pairs1 AS (SELECT {k}, l, r, w, {extra} AS x, dense_rank() OVER (PARTITION BY {k} ORDER BY l) AS li, row_number() OVER (PARTITION BY {k}, l ORDER BY w DESC, r) AS k FROM pairs0),
       pairs2 AS (SELECT *, max(li) OVER (PARTITION BY {k}) AS n FROM pairs1),
       choice AS (SELECT {k}, li, n, l, r, w, x FROM pairs2 WHERE k <= n UNION ALL SELECT DISTINCT {k}, li, n, l, NULL, 0.0, NULL FROM pairs2),
       search AS (SELECT DISTINCT {k}, n, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(0 AS DOUBLE) AS total, CAST([] AS STRUCT(l BIGINT, r BIGINT, w DOUBLE, x DOUBLE)[]) AS chosen FROM choice
@@ -20,6 +22,7 @@ def matched(pairs: str, keys: list[str], extra: str = "w") -> str:
         FROM search s JOIN choice c ON {same} AND c.li = s.i + 1 WHERE c.r IS NULL OR NOT list_contains(s.used, c.r)),
       best AS (SELECT {k}, unnest(chosen) AS m FROM (SELECT * FROM search WHERE i = n QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY total DESC) = 1)),
       matched AS (SELECT {k}, m.l AS l, m.r AS r, m.w AS w, m.x AS x FROM best)"""
+    return re.sub(r"\b(pairs[012]|choice|search|best|matched)\b", lambda m: m.group() + suffix, text)
 
 
 def cgf1(by: str | None = None) -> str:
@@ -93,3 +96,34 @@ def ap(unit: str, settings: str) -> str:
       aps AS (SELECT setting, category, thr_idx, sum(p) / 101 AS ap FROM env GROUP BY ALL), recs AS (SELECT setting, category, thr_idx, max(rec) AS recall FROM cell GROUP BY ALL),
       final AS (SELECT n.setting, n.category, CAST(th.thr_idx AS INTEGER) AS thr_idx, CASE WHEN n_gt > 0 THEN coalesce(ap, 0) END AS ap, CASE WHEN n_gt > 0 THEN coalesce(recall, 0) END AS recall, n_gt
         FROM ngt n CROSS JOIN th LEFT JOIN aps a ON a.setting = n.setting AND a.category = n.category AND a.thr_idx = th.thr_idx LEFT JOIN recs c ON c.setting = n.setting AND c.category = n.category AND c.thr_idx = th.thr_idx)"""
+
+
+TETA_METRICS = ["LocA", "LocRe", "LocPr", "AssocA", "AssocRe", "AssocPr", "ClsA", "ClsRe", "ClsPr"]
+
+
+def teta() -> str:
+    """CTEs from ``tg`` and ``tr`` (seq, t, id, cls, box) and ``sims`` (seq, t, gt, tr, gcls, rcls, sim) to ``teta`` (cls and the metrics)."""
+    align = lambda name, keys, g, r, s: f"""{name}u AS (SELECT *, sum(sim) OVER (PARTITION BY {keys}, t, gt) + sum(sim) OVER (PARTITION BY {keys}, t, tr) - sim AS u FROM {s}),
+      {name} AS (SELECT {keys}, gt, tr, p / (n_gt + n_tr - p) AS align FROM (SELECT {keys}, gt, tr, sum(sim / u) AS p FROM {name}u GROUP BY ALL) JOIN (SELECT {keys}, id AS gt, count(*) AS n_gt FROM {g} GROUP BY ALL) USING ({keys}, gt)
+        JOIN (SELECT {keys}, id AS tr, count(*) AS n_tr FROM {r} GROUP BY ALL) USING ({keys}, tr))"""
+    weights = lambda name, keys, s: f"SELECT s.*, s.gt AS l, s.tr AS r, align * sim AS w FROM {s} s JOIN {name} USING ({keys}, gt, tr) WHERE align * sim > 0"
+    return f"""near AS (SELECT * FROM sims WHERE sim >= 0.5), used AS (SELECT DISTINCT seq, tr FROM near), tru AS (SELECT * FROM tr WHERE (seq, id) IN (SELECT seq, tr FROM used)), su AS (SELECT * FROM sims WHERE (seq, tr) IN (SELECT seq, tr FROM used)),
+      {align("ala", "seq", "tg", "tru", "su")}, {matched(weights("ala", "seq", "su"), ["seq", "t"], "sim", "_a")},
+      taken AS (SELECT DISTINCT m.seq, m.t, m.r AS tr, g.cls AS taken FROM matched_a m JOIN tg g ON g.seq = m.seq AND g.t = m.t AND g.id = m.l WHERE m.x >= 0.5 - 2.220446049250313e-16),
+      ov AS (SELECT DISTINCT n.seq, n.t, n.tr, n.gcls AS cls FROM near n LEFT JOIN taken k ON k.seq = n.seq AND k.t = n.t AND k.tr = n.tr WHERE k.taken IS NULL OR k.taken = n.gcls),
+      pt AS (SELECT DISTINCT seq, tr, cls FROM ov), ot AS (SELECT r.seq, p.cls, r.t, r.id FROM tr r JOIN pt p ON p.seq = r.seq AND p.tr = r.id), os AS (SELECT s.seq, s.gcls AS cls, s.t, s.gt, s.tr, s.rcls, s.sim FROM sims s JOIN pt p ON p.seq = s.seq AND p.tr = s.tr AND p.cls = s.gcls),
+      {align("alb", "seq, cls", "tg", "ot", "os")}, {matched(weights("alb", "seq, cls", "os"), ["seq", "cls", "t"], "sim", "_b")},
+      mt AS (SELECT m.seq, m.cls, m.t, m.l AS gt, m.r AS tr, m.x AS sim, r.cls AS rcls FROM matched_b m JOIN tr r ON r.seq = m.seq AND r.t = m.t AND r.id = m.r),
+      ta AS (SELECT unnest(range(20)) AS i), ht AS (SELECT mt.*, i FROM mt, ta WHERE sim >= CAST(0.05 AS DOUBLE) * i - 2.220446049250313e-16),
+      q1 AS (SELECT h.seq, h.cls, h.i, count(*) AS tp, count(o.tr) AS om, count(*) FILTER (WHERE h.i >= 10 AND h.rcls = h.cls) AS ctp, count(*) FILTER (WHERE h.i >= 10 AND h.rcls <> h.cls) AS cfn FROM ht h LEFT JOIN ov o ON o.seq = h.seq AND o.cls = h.cls AND o.t = h.t AND o.tr = h.tr GROUP BY ALL),
+      q2 AS (SELECT seq, cls, i, sum(m * m / greatest(1, n_gt + n_tr - m)) AS a, sum(m * m / greatest(1, n_gt)) AS ar, sum(m * m / greatest(1, n_tr)) AS ap FROM (SELECT seq, cls, i, gt, tr, count(*) AS m FROM ht GROUP BY ALL)
+        JOIN (SELECT seq, cls, id AS gt, count(*) AS n_gt FROM tg GROUP BY ALL) USING (seq, cls, gt) JOIN (SELECT seq, cls, id AS tr, count(*) AS n_tr FROM ot GROUP BY ALL) USING (seq, cls, tr) GROUP BY seq, cls, i),
+      q3 AS (SELECT seq, rcls AS cls, i, count(*) AS wrong FROM ht WHERE i >= 10 AND rcls <> cls GROUP BY ALL), q4 AS (SELECT seq, cls, count(*) AS n_truth FROM tg GROUP BY ALL), q5 AS (SELECT seq, cls, count(*) AS n_ov FROM ov GROUP BY ALL),
+      q6 AS (SELECT r.seq, r.cls, count(*) AS n_called FROM tr r WHERE NOT EXISTS (SELECT 1 FROM ov o WHERE o.seq = r.seq AND o.t = r.t AND o.tr = r.id AND o.cls = r.cls) GROUP BY ALL),
+      qu AS (SELECT seq, cls FROM q4 UNION SELECT seq, cls FROM q5 UNION SELECT seq, cls FROM q6),
+      qa AS (SELECT qu.seq, qu.cls, ta.i, coalesce(tp, 0) AS tp, coalesce(n_truth, 0) - coalesce(tp, 0) AS fn, coalesce(n_ov, 0) - coalesce(om, 0) AS fp, coalesce(ctp, 0) AS ctp, coalesce(cfn, 0) AS cfn, CASE WHEN ta.i >= 10 THEN coalesce(wrong, 0) + coalesce(n_called, 0) ELSE 0 END AS cfp,
+        coalesce(a / greatest(1, tp), 0) AS a, coalesce(ar / greatest(1, tp), 0) AS ar, coalesce(ap / greatest(1, tp), 0) AS ap FROM qu CROSS JOIN ta LEFT JOIN q1 ON q1.seq = qu.seq AND q1.cls = qu.cls AND q1.i = ta.i LEFT JOIN q2 ON q2.seq = qu.seq AND q2.cls = qu.cls AND q2.i = ta.i
+        LEFT JOIN q3 ON q3.seq = qu.seq AND q3.cls = qu.cls AND q3.i = ta.i LEFT JOIN q4 ON q4.seq = qu.seq AND q4.cls = qu.cls LEFT JOIN q5 ON q5.seq = qu.seq AND q5.cls = qu.cls LEFT JOIN q6 ON q6.seq = qu.seq AND q6.cls = qu.cls),
+      qc AS (SELECT cls, i, sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp, sum(ctp) AS ctp, sum(cfn) AS cfn, sum(cfp) AS cfp, sum(a * tp) / greatest(1, sum(tp)) AS AssocA, sum(ar * tp) / greatest(1, sum(tp)) AS AssocRe, sum(ap * tp) / greatest(1, sum(tp)) AS AssocPr FROM qa GROUP BY cls, i),
+      qm AS (SELECT *, tp / greatest(1, tp + fn + fp) AS LocA, tp / greatest(1, tp + fn) AS LocRe, tp / greatest(1, tp + fp) AS LocPr, CASE WHEN i >= 10 THEN ctp / greatest(1, ctp + cfn + cfp) END AS ClsA, CASE WHEN i >= 10 THEN ctp / greatest(1, ctp + cfn) END AS ClsRe, CASE WHEN i >= 10 THEN ctp / greatest(1, ctp + cfp) END AS ClsPr FROM qc),
+      teta0 AS (SELECT cls, {", ".join(f"avg({m}) * 100 AS {m}" for m in TETA_METRICS)} FROM qm GROUP BY cls), teta AS (SELECT *, (LocA + AssocA + ClsA) / 3 AS TETA FROM teta0)"""
