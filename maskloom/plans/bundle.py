@@ -12,7 +12,8 @@ from maskloom.operators import tracks as K
 from maskloom.operators.results import dangling_frames, frame_images, frame_tables
 from maskloom.plans import ap, cgf1, hota, teta
 from maskloom.plans import metric_sql as SQ
-from maskloom.plans.evaluating import _FRB, _TRACKS, IMAGE_UNITS_SQL, image_units, track_sets
+from maskloom.plans.evaluating import _FRB, _TRACKS, FRAME_WEIGHTS, IMAGE_UNITS_SQL, image_units, rounded, track_sets
+from maskloom.plans.sampling import CLASSES_SQL
 from maskloom.plans.views import once, once_sql, overlap_sql
 from maskloom.shared import materialize, scratch, table
 from maskloom.streaming.accumulate import Accumulator
@@ -68,7 +69,7 @@ def _video_ap_sql(category: str) -> str:
     own = f"t AS (SELECT seq, {category} AS category, gt, crowd, area FROM vt), d AS (SELECT seq, {category} AS category, det, score, area FROM vd), p AS (SELECT seq, {category} AS category, det, gt, iou FROM vp)"
     # the names t, d and p are taken only here
     return f"""WITH RECURSIVE {_VIDEO}, {own}, {SQ.ap("seq", "('all', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 100)")}, mean AS (SELECT avg(ap) AS ap, avg(ap) FILTER (WHERE thr_idx = 0) AS ap50, avg(ap) FILTER (WHERE thr_idx = 5) AS ap75, avg(recall) AS ar FROM final)
-      SELECT unnest(['AP', 'AP_50', 'AP_75', 'AR']) AS metric, unnest([coalesce(ap, -1), coalesce(ap50, -1), coalesce(ap75, -1), coalesce(ar, -1)]) AS value FROM mean"""
+      SELECT unnest(['AP', 'AP_50', 'AP_75', 'AR']) AS metric, unnest([round(coalesce(ap, -1), 6), round(coalesce(ap50, -1), 6), round(coalesce(ap75, -1), 6), round(coalesce(ar, -1), 6)]) AS value FROM mean"""
 
 
 @query(f"""WITH RECURSIVE {_VIDEO}, {_VIDEO_UNITS} SELECT seq, n_gt, n_dt, len(list_filter(coalesce(ws, []), lambda w: w >= 0.5)) AS tp, n_dt - len(list_filter(coalesce(ws, []), lambda w: w >= 0.5)) AS fp, n_gt - len(list_filter(coalesce(ws, []), lambda w: w >= 0.5)) AS fn FROM units""")
@@ -79,11 +80,11 @@ def video_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("seq", "n_gt", "n_dt", tp.alias("tp"), (F.col("n_dt") - tp).alias("fp"), (F.col("n_gt") - tp).alias("fn"))
 
 
-@query(f"WITH RECURSIVE {_VIDEO}, {_VIDEO_UNITS}, {SQ.cgf1()} SELECT metric, threshold, value FROM final")
+@query(f"WITH RECURSIVE {_VIDEO}, {_VIDEO_UNITS}, {SQ.cgf1()} SELECT metric, threshold, round(value, 6) AS value FROM final")
 def cgf1_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 with correlation of (video, category) pairs over track IoU."""
     units, truth, dets, pairs = _video(spark, sf_dir)
-    return cgf1.finalize(cgf1.combine(cgf1.per_unit(units, truth, dets, pairs, ["seq"])))
+    return rounded(cgf1.finalize(cgf1.combine(cgf1.per_unit(units, truth, dets, pairs, ["seq"]))))
 
 
 def _phrase_ap(spark: SparkSession, sf_dir: str, with_categories: bool) -> DataFrame:
@@ -96,26 +97,31 @@ def _phrase_ap(spark: SparkSession, sf_dir: str, with_categories: bool) -> DataF
 @query(_video_ap_sql("0"))
 def ap_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AP of tracks, all phrases as one class."""
-    return ap.summary(_phrase_ap(spark, sf_dir, False))
+    return rounded(ap.summary(_phrase_ap(spark, sf_dir, False)))
 
 
 @query(_video_ap_sql("CAST(split_part(seq, ':', 2) AS BIGINT)"))
 def ap_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean AP of tracks over the categories."""
-    return ap.summary(_phrase_ap(spark, sf_dir, True))
+    return rounded(ap.summary(_phrase_ap(spark, sf_dir, True)))
 
 
-@query()
+_HOTA_ONE = f"""WITH RECURSIVE {_TRACKS}, {SQ.matched(FRAME_WEIGHTS, ["seq", "t"], "x0")}, {SQ.hota(True)} SELECT * EXCLUDE (h0, l0), round(h0, 6) AS HOTA_0, round(l0, 6) AS LocA_0, round(h0 * l0, 6) AS HOTALocA_0 FROM final"""
+_TETA_ONE = f"""WITH RECURSIVE {CLASSES_SQL}, {SQ.teta()} SELECT {", ".join(f"round(avg({m}), 6) AS {m}" for m in [*SQ.TETA_METRICS, "TETA"])} FROM teta"""
+
+
+@query(f"""SELECT 'cgf1' AS evaluator, metric, value FROM ({SQL["cgf1_video"]}) WHERE threshold IS NULL UNION ALL SELECT 'phrase_ap', metric, value FROM ({SQL["ap_phrases"]}) UNION ALL SELECT 'class_ap', metric, value FROM ({SQL["ap_classes"]})
+  UNION ALL SELECT 'phrase_hota', metric, value FROM (UNPIVOT ({_HOTA_ONE}) ON COLUMNS(*) INTO NAME metric VALUE value) UNION ALL SELECT 'teta', metric, value FROM (UNPIVOT ({_TETA_ONE}) ON COLUMNS(*) INTO NAME metric VALUE value)""")
 def video_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All video metrics in one table: evaluator, metric, value."""
-    long = lambda df, name: df.unpivot([], df.columns, "metric", "value").select(F.lit(name).alias("evaluator"), "metric", F.col("value").cast("double").alias("value"))
+    long = lambda df, name: df.unpivot([], df.columns, "metric", "value").select(F.lit(name).alias("evaluator"), "metric", F.round(F.col("value").cast("double"), 6).alias("value"))
     g, r = track_sets(spark, sf_dir)
     split = lambda df: df.select(F.split_part("seq", F.lit(":"), F.lit(1)).alias("seq"), "t", "id", F.split_part("seq", F.lit(":"), F.lit(2)).alias("cls"), "box")
     h = hota.mean_over_alphas(hota.finalize(hota.combine(hota.per_sequence(g, r))))
     t = teta.class_averaged(teta.finalize(teta.combine(teta.per_sequence(split(g), split(r)), ["cls"]), ["cls"]))
     c = cgf1_video(spark, sf_dir).where("threshold IS NULL").select(F.lit("cgf1").alias("evaluator"), "metric", "value")
-    a = ap_phrases(spark, sf_dir).select(F.lit("phrase_ap").alias("evaluator"), "metric", "value")
-    return c.unionByName(a).unionByName(long(h, "phrase_hota")).unionByName(long(t, "teta"))
+    one = lambda df, name: df.select(F.lit(name).alias("evaluator"), "metric", "value")
+    return c.unionByName(one(ap_phrases(spark, sf_dir), "phrase_ap")).unionByName(one(ap_classes(spark, sf_dir), "class_ap")).unionByName(long(h, "phrase_hota")).unionByName(long(t, "teta"))
 
 
 @query()
@@ -139,13 +145,13 @@ def masks_without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {IMAGE_UNITS_SQL}, units AS (SELECT u.*, i.rarity FROM units0 u JOIN {once_sql('image', 'rarity')} i ON i.id = u.image_id WHERE rarity BETWEEN 0 AND 3), {SQ.cgf1("rarity")},
-  own AS (SELECT * FROM final WHERE metric = 'cgF1') SELECT rarity, metric, threshold, value FROM own UNION ALL SELECT NULL, metric, threshold, avg(value) FROM own GROUP BY metric, threshold""")
+  own AS (SELECT * FROM final WHERE metric = 'cgF1') SELECT rarity, metric, threshold, round(value, 6) AS value FROM own UNION ALL SELECT NULL, metric, threshold, round(avg(value), 6) FROM own GROUP BY metric, threshold""")
 def cgf1_by_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metric per rarity and, as ``rarity`` null, its unweighted mean over them."""
     i = once(spark, sf_dir, "image", "rarity").select(F.col("id").alias("image_id"), "rarity").where("rarity BETWEEN 0 AND 3")
     f = cgf1.finalize(cgf1.combine(image_units(spark, sf_dir).join(i, "image_id"), ["rarity"]), ["rarity"]).where("metric = 'cgF1'")
     mean = f.groupBy("metric", "threshold").agg(F.avg("value").alias("value")).select(F.lit(None).cast("int").alias("rarity"), "metric", "threshold", "value")
-    return f.unionByName(mean)
+    return rounded(f.unionByName(mean))
 
 
 @query(f"SELECT id, video_id, segmentations[3].counts AS counts, bboxes[3] AS box FROM {once_sql('masklet', 'video_id', 'segmentations', 'bboxes')} WHERE segmentations[3] IS NOT NULL OR bboxes[3] IS NOT NULL")

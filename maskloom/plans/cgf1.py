@@ -100,3 +100,13 @@ def finalize(sums: DataFrame, by: list[str] | None = None) -> DataFrame:
     long = each.unpivot([*by, "threshold"], names, "metric", "value")
     mean = long.groupBy(*by, "metric").agg(F.avg("value").alias("value")).select(*by, "metric", F.lit(None).cast("double").alias("threshold"), "value")
     return image.unionByName(mean).unionByName(long.where(F.col("threshold").isin(THRESHOLDS[0], THRESHOLDS[5])).select(*by, "metric", "threshold", "value"))
+
+
+HEADLINE = ["cgF1", "IL_MCC", "positive_micro_F1"]
+
+
+def headline(final: DataFrame, subset: str) -> DataFrame:
+    """The three numbers of each subset, means over the thresholds, and their unweighted mean (subset null)."""
+    whole = final.where("threshold IS NULL").groupBy(subset).pivot("metric", HEADLINE).agg(F.max("value"))
+    mean = whole.agg(*(F.avg(m).alias(m) for m in HEADLINE)).select(F.lit(None).cast(final.schema[subset].dataType).alias(subset), *HEADLINE)
+    return whole.unionByName(mean).select(subset, *(F.round(m, 6).alias(m) for m in HEADLINE))

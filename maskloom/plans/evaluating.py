@@ -27,6 +27,10 @@ def query(sql: str | None = None):
     return add
 
 
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns or ("value",)})
+
+
 def _greedy_sql(rows: str, groups: list[str], threshold: str) -> str:
     """Greedy suppression in SQL: rows (groups, id, box, score) one by one, with the list of kept boxes."""
     g = ", ".join(groups)
@@ -121,11 +125,11 @@ def match_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimal_matches(spark, sf_dir).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("total"))
 
 
-@query(f"""WITH RECURSIVE {SQ.matched(_STRONG, ["image_id"])} SELECT image_id, l AS left, r AS right, w AS weight FROM matched""")
+@query(f"""WITH RECURSIVE {SQ.matched(_STRONG, ["image_id"])} SELECT image_id, l AS left, r AS right, round(w, 6) AS weight FROM matched""")
 def optimal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optimal one-to-one matches of each image's ground truth and predictions."""
     p = pairs(spark, sf_dir).where("score >= 0.5 AND NOT crowd").select("image_id", F.col("gt").alias("left"), F.col("det").alias("right"), F.col("iou").alias("weight"))
-    return M.assign(p, ["image_id"])
+    return M.assign(p, ["image_id"]).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"""SELECT image_id, count(*) AS n FROM (SELECT image_id, det, gt, row_number() OVER (PARTITION BY image_id, gt ORDER BY iou DESC, det) AS k FROM {PAIRS_SQL} WHERE score >= 0.5 AND NOT crowd) WHERE k = 1 GROUP BY image_id""")
@@ -149,9 +153,9 @@ _UNITS = f"{SQ.matched(_STRONG, ['image_id'])}, units0 AS (SELECT n.*, m.ws FROM
 IMAGE_UNITS_SQL = _UNITS
 
 
-@query(f"WITH RECURSIVE {_UNITS}, units AS (SELECT n_gt, n_dt, ws FROM units0), {SQ.cgf1()} SELECT metric, threshold, value FROM final")
+@query(f"WITH RECURSIVE {_UNITS}, units AS (SELECT n_gt, n_dt, ws FROM units0), {SQ.cgf1()} SELECT metric, threshold, round(value, 6) AS value FROM final")
 def cgf1_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cgf1.finalize(cgf1.combine(image_units(spark, sf_dir)))
+    return rounded(cgf1.finalize(cgf1.combine(image_units(spark, sf_dir))))
 
 
 @query(f"""WITH c AS (SELECT CAST(count(*) FILTER (WHERE n_gt > 0 AND n_dt > 0) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE n_gt = 0 AND n_dt > 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE n_gt = 0 AND n_dt = 0) AS DOUBLE) AS tn, CAST(count(*) FILTER (WHERE n_gt > 0 AND n_dt = 0) AS DOUBLE) AS fn FROM {_N})
@@ -165,22 +169,39 @@ def image_level_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS3 = f"SELECT image_id, a AS annotator, gt AS l, det AS r, iou AS w FROM {PAIRS_SQL}, (SELECT unnest([0, 1, 2]) AS a) WHERE score >= 0.5 AND NOT crowd AND gt % 3 <> a"
 
 
-@query(f"""WITH RECURSIVE {SQ.matched(_PAIRS3, ["image_id", "annotator"])}, n3 AS (SELECT n.image_id, n.n_dt, a AS annotator, coalesce(g.n, 0) AS n_gt FROM {_N} n CROSS JOIN (SELECT unnest([0, 1, 2]) AS a)
+_BEST3 = f"""{SQ.matched(_PAIRS3, ["image_id", "annotator"])}, n3 AS (SELECT n.image_id, n.n_dt, a AS annotator, coalesce(g.n, 0) AS n_gt FROM {_N} n CROSS JOIN (SELECT unnest([0, 1, 2]) AS a)
     LEFT JOIN (SELECT image_id, a, count(*) AS n FROM {TRUTH_SQL}, (SELECT unnest([0, 1, 2]) AS a) WHERE NOT crowd AND gt % 3 <> a GROUP BY 1, 2) g USING (image_id, a)),
   w3 AS (SELECT n3.*, coalesce(ws, []) AS ws FROM n3 LEFT JOIN (SELECT image_id, annotator, list(w) AS ws FROM matched GROUP BY ALL) m USING (image_id, annotator)),
   c3 AS (SELECT *, len(list_filter(ws, lambda w: w >= {SQ.THRESHOLD.format(i='i')})) AS tp FROM w3, (SELECT unnest(range(10)) AS i)),
   m3 AS (SELECT image_id, annotator, CASE WHEN any_value(n_gt) > 0 OR any_value(n_dt) > 0 THEN sum(2 * (tp / (n_dt + 1e-4)) * (tp / (n_gt + 1e-4)) / (tp / (n_dt + 1e-4) + tp / (n_gt + 1e-4) + 1e-4)) / 10 END AS m FROM c3 GROUP BY ALL),
   v3 AS (SELECT image_id, max(m) FILTER (WHERE annotator = 0) AS m0, max(m) FILTER (WHERE annotator = 1) AS m1, max(m) FILTER (WHERE annotator = 2) AS m2 FROM m3 GROUP BY 1),
   p3 AS (SELECT image_id, m2, CASE WHEN m1 IS NULL OR (m0 IS NOT NULL AND m1 > m0) THEN 1 ELSE 0 END AS b, CASE WHEN m1 IS NULL OR (m0 IS NOT NULL AND m1 > m0) THEN m1 ELSE m0 END AS m FROM v3),
-  b3 AS (SELECT image_id, CASE WHEN m2 IS NULL OR (m IS NOT NULL AND m2 > m) THEN 2 ELSE b END AS annotator FROM p3), units AS (SELECT n_gt, n_dt, ws FROM w3 JOIN b3 USING (image_id, annotator)), {SQ.cgf1()} SELECT metric, threshold, value FROM final""")
-def cgf1_best_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three annotators (ground truth without a third of its rows each), the best record per image."""
+  b3 AS (SELECT image_id, CASE WHEN m2 IS NULL OR (m IS NOT NULL AND m2 > m) THEN 2 ELSE b END AS annotator FROM p3)"""
+
+
+def _best_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = once(spark, sf_dir, "image", "is_instance_exhaustive").where("is_instance_exhaustive = 1 AND id IS NOT NULL").select(F.col("id").alias("image_id"))
     three = lambda df: df.withColumn("annotator", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     own = F.col("gt") % 3 != F.col("annotator")
     p = materialize(three(pairs(spark, sf_dir).select("image_id", "det", "gt", "iou", "score", "crowd")).where(own), "pairs3")
     units = cgf1.per_unit(three(i), three(truth(spark, sf_dir).select("image_id", "gt", "crowd")).where(own), three(detected(spark, sf_dir).select("image_id", "det", "score")), p, ["image_id", "annotator"])
-    return cgf1.finalize(cgf1.combine(cgf1.best_annotator(units, ["image_id"], "annotator")))
+    return cgf1.best_annotator(units, ["image_id"], "annotator")
+
+
+@query(f"""WITH RECURSIVE {_BEST3}, units AS (SELECT n_gt, n_dt, ws FROM w3 JOIN b3 USING (image_id, annotator)), {SQ.cgf1()} SELECT metric, threshold, round(value, 6) AS value FROM final""")
+def cgf1_best_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three annotators (ground truth without a third of its rows each), the best record per image."""
+    return rounded(cgf1.finalize(cgf1.combine(_best_of_three(spark, sf_dir))))
+
+
+@query(f"""WITH RECURSIVE {_BEST3}, units AS (SELECT n_gt, n_dt, ws, rarity FROM w3 JOIN b3 USING (image_id, annotator) JOIN {once_sql('image', 'rarity')} i ON i.id = w3.image_id WHERE rarity BETWEEN 0 AND 3), {SQ.cgf1("rarity")},
+  own AS (SELECT rarity, max(value) FILTER (WHERE metric = 'cgF1') AS cgF1, max(value) FILTER (WHERE metric = 'IL_MCC') AS IL_MCC, max(value) FILTER (WHERE metric = 'positive_micro_F1') AS positive_micro_F1 FROM final WHERE threshold IS NULL GROUP BY rarity)
+  SELECT rarity, round(cgF1, 6) AS cgF1, round(IL_MCC, 6) AS IL_MCC, round(positive_micro_F1, 6) AS positive_micro_F1 FROM own UNION ALL SELECT NULL, round(avg(cgF1), 6), round(avg(IL_MCC), 6), round(avg(positive_micro_F1), 6) FROM own""")
+def subset_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three headline numbers of every subset (here: rarity), each image by its best of three annotators, and their
+    unweighted mean over the subsets."""
+    i = once(spark, sf_dir, "image", "rarity").where("rarity BETWEEN 0 AND 3").select(F.col("id").alias("image_id"), "rarity")
+    return cgf1.headline(cgf1.finalize(cgf1.combine(_best_of_three(spark, sf_dir).join(i, "image_id"), ["rarity"]), ["rarity"]), "rarity")
 
 
 def _ap_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -204,7 +225,7 @@ _STANDARD = ", ".join(f"('{s.name}', {'NULL, NULL' if s.area is None else f'{s.a
 _SUMMARY = """, mean AS (SELECT setting, avg(ap) AS ap, avg(ap) FILTER (WHERE thr_idx = 0) AS ap50, avg(ap) FILTER (WHERE thr_idx = 5) AS ap75, avg(recall) AS ar FROM final GROUP BY setting)"""
 
 
-@query(_ap_sql("{b}", _STANDARD) + _SUMMARY + """ SELECT v[1] AS metric, coalesce(CAST(v[2] AS DOUBLE), -1) AS value FROM (SELECT unnest(CASE WHEN setting = 'all' THEN [['AP', ap::VARCHAR], ['AP_50', ap50::VARCHAR], ['AP_75', ap75::VARCHAR], ['AR_100', ar::VARCHAR]]
+@query(_ap_sql("{b}", _STANDARD) + _SUMMARY + """ SELECT v[1] AS metric, round(coalesce(CAST(v[2] AS DOUBLE), -1), 6) AS value FROM (SELECT unnest(CASE WHEN setting = 'all' THEN [['AP', ap::VARCHAR], ['AP_50', ap50::VARCHAR], ['AP_75', ap75::VARCHAR], ['AR_100', ar::VARCHAR]]
   WHEN setting LIKE 'all@%' THEN [['AR_' || setting[5:], ar::VARCHAR]] ELSE [['AP_' || setting, ap::VARCHAR], ['AR_' || setting, ar::VARCHAR]] END) AS v FROM mean)""")
 def ap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's twelve numbers: AP over all and at 0.50 and 0.75, per area range, AR at 1, 10 and 100 detections and per range."""
@@ -213,19 +234,19 @@ def ap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = detected(spark, sf_dir).join(once(spark, sf_dir, "image", "width").select(F.col("id").alias("image_id")), "image_id")
     d = d.select("image_id", F.lit(0).alias("category"), "det", "score", B.area_xywh(F.col("dt_box")).alias("area"))
     p = pairs(spark, sf_dir).select("image_id", F.lit(0).alias("category"), "det", "gt", "iou")
-    return ap.standard_summary(ap.average_precisions(t, d, p, "image_id", STANDARD), STANDARD)
+    return rounded(ap.standard_summary(ap.average_precisions(t, d, p, "image_id", STANDARD), STANDARD))
 
 
-@query(_ap_sql(_RELATIVE, "('all', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 100)") + " SELECT category, thr_idx, ap, recall, n_gt FROM final")
+@query(_ap_sql(_RELATIVE, "('all', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 100)") + " SELECT category, thr_idx, round(ap, 6) AS ap, round(recall, 6) AS recall, n_gt FROM final")
 def ap_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AP and AR per threshold, all predictions of an image in one class."""
-    return ap.average_precision(*_ap_inputs(spark, sf_dir), "image_id")
+    return rounded(ap.average_precision(*_ap_inputs(spark, sf_dir), "image_id"), "ap", "recall")
 
 
-@query(_ap_sql(_RELATIVE, "('medium', 0.01, 0.1, 100)") + _SUMMARY + " SELECT unnest(['AP', 'AP_50', 'AP_75', 'AR']) AS metric, unnest([coalesce(ap, -1), coalesce(ap50, -1), coalesce(ap75, -1), coalesce(ar, -1)]) AS value FROM mean")
+@query(_ap_sql(_RELATIVE, "('medium', 0.01, 0.1, 100)") + _SUMMARY + " SELECT unnest(['AP', 'AP_50', 'AP_75', 'AR']) AS metric, unnest([round(coalesce(ap, -1), 6), round(coalesce(ap50, -1), 6), round(coalesce(ap75, -1), 6), round(coalesce(ar, -1), 6)]) AS value FROM mean")
 def ap_medium(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean AP of boxes of medium relative area."""
-    return ap.summary(ap.average_precision(*_ap_inputs(spark, sf_dir), "image_id", area=(0.01, 0.1)))
+    return rounded(ap.summary(ap.average_precision(*_ap_inputs(spark, sf_dir), "image_id", area=(0.01, 0.1))))
 
 
 def track_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +270,8 @@ _TRACKS = f"""g AS (SELECT * FROM {_GF} WHERE area > 0 AND len(box) >= 4 AND len
   u AS (SELECT *, sum(sim) OVER (PARTITION BY seq, t, gt) + sum(sim) OVER (PARTITION BY seq, t, tr) - sim AS u FROM s), pot AS (SELECT seq, gt, tr, sum(sim / u) AS p FROM u GROUP BY ALL),
   n1 AS (SELECT seq, id AS gt, count(*) AS n_gt FROM g GROUP BY ALL), n2 AS (SELECT seq, id AS tr, count(*) AS n_tr FROM r GROUP BY ALL),
   al AS (SELECT seq, gt, tr, p / (n_gt + n_tr - p) AS align FROM pot JOIN n1 USING (seq, gt) JOIN n2 USING (seq, tr))"""
-_FRAMES = SQ.matched("SELECT s.seq, s.t, s.gt AS l, s.tr AS r, align * sim AS w, sim AS x0 FROM s JOIN al USING (seq, gt, tr) WHERE align * sim > 0", ["seq", "t"], "x0")
+FRAME_WEIGHTS = "SELECT s.seq, s.t, s.gt AS l, s.tr AS r, align * sim AS w, sim AS x0 FROM s JOIN al USING (seq, gt, tr) WHERE align * sim > 0"
+_FRAMES = SQ.matched(FRAME_WEIGHTS, ["seq", "t"], "x0")
 
 
 @query(f"WITH RECURSIVE {_TRACKS} SELECT seq, gt, tr, round(align, 6) AS align FROM al")
