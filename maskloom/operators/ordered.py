@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from maskloom.operators.grouped import spread
+
 
 def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, ranked from 1; limited in each task before the shuffle."""
@@ -50,18 +56,28 @@ def strided(df: DataFrame, groups: list[str], at: str, begin: int, end: int, str
 def keep_alive(df: DataFrame, groups: list[str], at: str, matched: Column, start: int, low: int, high: int) -> DataFrame:
     """A counter from ``start``, +1 on a match, -1 on a miss, kept in [low, high] at every step.
 
-    The clamp depends on the path, so this is a fold over a group's ordered flags; a group is the frames of a
-    track, and must be of bounded length.
+    The clamp depends on the path, so this is a fold over a group's ordered flags. Rows are streamed in order with one
+    number of state, so a group of any length takes time in proportion and no memory; it is one task's work.
     """
-    flags = df.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.coalesce(matched, F.lit(False)).alias("hit")))).alias("_f"))
-    step = lambda c, hit: F.when(hit, F.least(c + 1, F.lit(high))).otherwise(F.greatest(c - 1, F.lit(low)))
-    seed = F.struct(F.lit(start).alias("c"), F.array().cast(f"array<struct<at: {df.schema[at].dataType.simpleString()}, alive: int>>").alias("out"))
-
-    def fold(acc: Column, f: Column) -> Column:
-        c = step(acc["c"], f["hit"])
-        return F.struct(c.alias("c"), F.concat(acc["out"], F.array(F.struct(f["at"].alias("at"), c.alias("alive")))).alias("out"))
-
-    return flags.select(*groups, F.inline(F.aggregate("_f", seed, fold, lambda a: a["out"]))).withColumnRenamed("at", at)
+    hit = F.coalesce(matched, F.lit(False))
+    flags = df.select(*groups, F.col(at), hit.alias("_hit"))
+    columns = [*groups, at]
+    schema = df.select(*columns).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, c = None, start
+        for b in batches:
+            keys = list(zip(*(b.column(g).to_pylist() for g in groups), strict=True)) if groups else [()] * b.num_rows
+            out = []
+            for k, h in zip(keys, b.column("_hit").to_pylist(), strict=True):
+                if k != key:
+                    key, c = k, start
+                c = min(c + 1, high) if h else max(c - 1, low)
+                out.append(c)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in columns), pa.array(out, pa.int32())], names=[*columns, "alive"])
+
+    ordered = spread(flags, groups).sortWithinPartitions(*columns)
+    return ordered.mapInArrow(run, StructType([*schema.fields, StructField("alive", IntegerType())]))
 
 
 def first_and_last(df: DataFrame, groups: list[str], at: str, value: str) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 TRACKED = 16_384  #: counters of the sketch; its error is at most 3.5 / TRACKED of the rows
 
@@ -75,7 +76,10 @@ def salted_aggregate(df: DataFrame, group: str, key: str, aggregates: list[Merge
     for g in dict.fromkeys(g for g, _ in heavy):
         is_heavy = is_heavy | ((F.col(group) == g) & F.col(key).isin([k for h, k in heavy if h == g]))
     is_heavy = F.coalesce(is_heavy, F.lit(True))  # null keys are salted too: there may be any number
-    salted = df.withColumn("_salt", F.when(is_heavy, F.floor(F.rand(7) * salts).cast("int")).otherwise(0))
+    # by the row itself, so that a task run again gives its rows the same salts; equal rows by their place
+    plain = [F.col(f"`{c.name}`") for c in df.schema if not isinstance(c.dataType, MapType)]
+    draw = F.pmod(F.xxhash64(*plain, F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    salted = df.withColumn("_salt", F.when(is_heavy, draw).otherwise(0))
     partial = salted.groupBy(group, key, "_salt").agg(*(a.partial().alias(a.name) for a in aggregates))
     merged = partial.groupBy(group, key).agg(*(a.merge(F.col(a.name)).alias(a.name) for a in aggregates))
     if distinct is None:

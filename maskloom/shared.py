@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,10 +72,27 @@ def _forget(spark: SparkSession, path: str) -> None:
             shutil.rmtree(local, ignore_errors=True)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """A scope whose intermediate tables are deleted when it ends, for long sessions: write a query's result within it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _forget(spark, path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; deleted when the driver ends."""
+    """A new path in the shared folder; deleted when the scope ends (see ``temporary``), else when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_forget, spark, path)
     return path
 
 

@@ -58,7 +58,7 @@ def mask_of_json(text: Column) -> Column:
     the image's size (``functions.runs.mask_of_polygons``)."""
     compressed = F.from_json(text, SEGMENTATION)
     listed = F.from_json(text, "STRUCT<counts: ARRAY<INT>, size: ARRAY<INT>>")
-    as_list = F.get_json_object(text, "$.counts").startswith("[")
+    as_list = listed["counts"].isNotNull()  # a compact text may begin with a bracket too
     return F.when(as_list, F.struct(R.counts_text(listed["counts"]).alias("counts"), listed["size"].alias("size"))).when(compressed["size"].isNotNull(), compressed)
 
 

@@ -32,18 +32,20 @@ def read_mot(spark: SparkSession, path: str | list[str], columns: list[str], del
 
 def mot_rows(rows: DataFrame, valid: dict[str, list[str]] | None = None, ignored: dict[str, list[str]] | None = None, convert: dict[str, dict[str, str]] | None = None, drop_negative: bool = False, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(data, ignore regions). A row in the ignore lists is in the second only. ``valid`` keeps rows whose values
-    are all in the lists; ``convert`` maps values first, unknown ones to null; ``drop_negative`` drops ids < 0."""
+    are all in the lists; ``convert`` maps values first, unknown ones to null; ``drop_negative`` drops ids < 0. The case
+    of letters doesn't matter for the lists, nor for what ``convert`` maps."""
+    within = lambda column, values: F.lower(F.col(column)).isin([v.lower() for v in values])
     for column, mapping in (convert or {}).items():
-        pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-        rows = rows.withColumn(column, F.try_element_at(F.create_map(*pairs), F.col(column)))
+        pairs = [F.lit(x) for k, v in mapping.items() for x in (k.lower(), v)]
+        rows = rows.withColumn(column, F.try_element_at(F.create_map(*pairs), F.lower(F.col(column))))
     skip: Column = F.lit(False)
     if ignored:
         skip = F.lit(True)
         for column, values in ignored.items():
-            skip = skip & F.coalesce(F.col(column).isin(values), F.lit(False))
+            skip = skip & F.coalesce(within(column, values), F.lit(False))
     data = rows.where(~skip)
     for column, values in (valid or {}).items():
-        data = data.where(F.col(column).isin(values))
+        data = data.where(within(column, values))
     if drop_negative:
         data = data.where(F.col(key) >= 0)
     return data, rows.where(skip) if ignored else rows.limit(0)
