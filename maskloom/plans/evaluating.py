@@ -116,20 +116,24 @@ def one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.one_to_many(p, ["image_id"], quantile=0.5).select("image_id", F.col("detection").alias("det"), F.col("target").alias("gt"))
 
 
+def _optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pairs(spark, sf_dir).where("score >= 0.5 AND NOT crowd").select("image_id", F.col("gt").alias("left"), F.col("det").alias("right"), F.col("iou").alias("weight"))
+    return M.assign(p, ["image_id"])
+
+
 _STRONG = f"SELECT image_id, gt AS l, det AS r, iou AS w FROM {PAIRS_SQL} WHERE score >= 0.5 AND NOT crowd"
 
 
 @query(f"""WITH RECURSIVE {SQ.matched(_STRONG, ["image_id"])} SELECT image_id, count(*) AS n, round(sum(w), 6) AS total FROM matched GROUP BY image_id""")
 def match_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and total IoU of the optimal matches of each image."""
-    return optimal_matches(spark, sf_dir).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("total"))
+    return _optimal(spark, sf_dir).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("total"))
 
 
 @query(f"""WITH RECURSIVE {SQ.matched(_STRONG, ["image_id"])} SELECT image_id, l AS left, r AS right, round(w, 6) AS weight FROM matched""")
 def optimal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optimal one-to-one matches of each image's ground truth and predictions."""
-    p = pairs(spark, sf_dir).where("score >= 0.5 AND NOT crowd").select("image_id", F.col("gt").alias("left"), F.col("det").alias("right"), F.col("iou").alias("weight"))
-    return M.assign(p, ["image_id"]).withColumn("weight", F.round("weight", 6))
+    return _optimal(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"""SELECT image_id, count(*) AS n FROM (SELECT image_id, det, gt, row_number() OVER (PARTITION BY image_id, gt ORDER BY iou DESC, det) AS k FROM {PAIRS_SQL} WHERE score >= 0.5 AND NOT crowd) WHERE k = 1 GROUP BY image_id""")

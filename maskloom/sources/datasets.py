@@ -45,7 +45,7 @@ def read_dataset(spark: SparkSession, path: str | list[str], video: bool = False
     docs = docs.select("*", F.col("_metadata.file_path").alias("_file"))
     out = {name: docs.select("_file", F.inline(F.coalesce(name, F.array()))) for name in lists}
     if video:
-        a = out["annotations"].withColumn("video_id", F.try_to_number("video_id", F.lit("9" * 18)).cast("long"))
+        a = out["annotations"].withColumn("video_id", F.expr("try_cast(trim(video_id) AS BIGINT)"))
         out["annotations"] = a.withColumn("bboxes", F.transform("bboxes", lambda b: F.coalesce(b, F.array(*[F.lit(0.0)] * 4)))).withColumn("mean_area", F.try_divide(F.aggregate("areas", F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0))), F.size("areas").cast("double")))
     else:
         out["annotations"] = out["annotations"].withColumn("segmentation", mask_of_json(F.col("segmentation")))
