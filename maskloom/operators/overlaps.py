@@ -19,10 +19,14 @@ def _corners(df: DataFrame, box: str, p: str) -> DataFrame:
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_box: str, right_box: str, name: str = "iou", condition: Column | None = None) -> DataFrame:
     """Rows of both with equal keys whose xywh boxes overlap, with their IoU; columns other than the keys must
     differ. The overlap is a comparison of eight plain numbers in the join; arrays are opened once a row, not
-    once a pair. A hot key is split by the adaptive skew join."""
+    once a pair. A hot key is split by the adaptive skew join.
+
+    A condition on the IoU moves into the join and may come before the overlap's, where boxes apart in both
+    directions have an ``_inter`` of up to both areas and more; so the IoU itself refuses a union of 0."""
     pairs = _pairs(left, right, keys, left_box, right_box, condition)
     out = [c for c in left.columns] + [c for c in right.columns if c not in keys]
-    return pairs.select(*out, (F.col("_inter") / (F.col("_ra") + F.col("_la") - F.col("_inter"))).alias(name))
+    union = F.col("_ra") + F.col("_la") - F.col("_inter")
+    return pairs.where(union > 0).select(*out, F.when(union > 0, F.col("_inter") / union).alias(name))
 
 
 def overlap_sums(left: DataFrame, right: DataFrame, keys: list[str], left_box: str, right_box: str, condition: Column | None = None) -> DataFrame:
