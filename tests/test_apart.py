@@ -21,3 +21,7 @@ def apart(spark, tmp_path_factory):
 
 def test_match_totals(spark, apart):
     assert [tuple(r) for r in registry.QUERIES["match_totals"](spark, apart).collect()] == [(1, 1, 1.0)]
+
+
+def test_one_to_many(spark, apart):
+    assert [(r.image_id, r.det, r.gt) for r in registry.QUERIES["one_to_many"](spark, apart).collect()] == [(1, 4, 2)]
