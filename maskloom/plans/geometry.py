@@ -165,8 +165,7 @@ def mask_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundary length, dilated area, parts and inner centre of each annotation's mask; ``mask_boundary_overlap``
     has the boundary F of two masks."""
     a = once(spark, sf_dir, "annotation", "segmentation").where("segmentation IS NOT NULL")
-    m = F.col("segmentation")
-    return a.select("id", R.mask_area(R.mask_boundary(m)).alias("boundary"), R.mask_area(R.mask_dilated(m, 3)).alias("dilated"), R.mask_components(m).alias("parts"), R.mask_centre(m).alias("centre"))
+    return a.select("id", R.mask_morphology(F.col("segmentation"), 3).alias("m")).select("id", "m.boundary", "m.dilated", "m.parts", "m.centre")
 
 
 @query()
