@@ -25,3 +25,7 @@ def test_match_totals(spark, apart):
 
 def test_one_to_many(spark, apart):
     assert [(r.image_id, r.det, r.gt) for r in registry.QUERIES["one_to_many"](spark, apart).collect()] == [(1, 4, 2)]
+
+
+def test_optimal_matches(spark, apart):
+    assert [tuple(r) for r in registry.QUERIES["optimal_matches"](spark, apart).collect()] == [(1, 2, 4, 1.0)]
